@@ -20,8 +20,38 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from prismlake.llm.byte_bpe import byte_bpe
+
+    return byte_bpe(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.telephony import text_media_digest
+
+    return text_media_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_records": op2_token_records,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_telephony_media": op5_telephony_media,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}
