@@ -10,16 +10,25 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: A space between two characters that are not white space always starts a new piece
 #: under byte-level patterns of the form `` ?letters| ?digits| ?other|\s+(?!\S)|\s+``.
 LEADING_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: The patterns by which the two kinds of vocabulary cut a text.
+PATTERNS = {
+    "leading_space": r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+    "dropped_space": r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+""",
+}
+
 #: Separators that Python's split() takes for white space and the tokenizers do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+#: White space of Latin-1 besides the space itself.
+OTHER_WHITE = "\t\n\x0b\x0c\r\x85\xa0"
+
+
 class ChunkEncoder:
     """ids of whole texts through ``tokenizers``, memoised by chunk.
 
@@ -29,47 +38,83 @@ class ChunkEncoder:
     ``memo_entries`` bounds the memo; beyond it the memo starts anew.
     """
 
-    def __init__(self, path: str, style: str, memo_entries: int = 700_000):
+    def __init__(self, path: str, style: str, memo_entries: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.style, self.limit, self.memo = style, memo_entries, {}
+        self.style, self.limit = style, memo_entries
+        self.lead = " " if style == "leading_space" else ""
+        self.pieces = regex.compile(PATTERNS[style]).findall
+        self.memo: dict[str, bytes] = {}  # ids of pieces
+        self.words: dict[str, bytes] = {}  # ids of words, with the space before them if it counts
 
-    def _split(self, text: str) -> list[str]:
-        if self.style == "dropped_space":
-            return text.split(" ") if SEPARATORS.search(text) else text.split()
-        head, *rest = text.split(" ")
-        # plain words: rebuild the chunks cheaply; otherwise cut by the careful pattern
-        if rest and not any(not w or w[0].isspace() or w[-1].isspace() for w in rest) and head and not head[-1].isspace():
-            return [head, *[" " + w for w in rest]]
-        return LEADING_SPACE.split(text) if text else []
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.memo) + len(chunks) > self.limit:
-            self.memo.clear()
-        todo = list(chunks)
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for chunk, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[chunk] = np.array(enc.ids, "<u4").tobytes()
+    def _library(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            for piece, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                self.memo[piece] = array("I", enc.ids).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; null is the empty text."""
-        chunks = self._split(text or "")
+    def _learn(self, chunks: set[str], lead: str | None, into: dict[str, bytes]) -> None:
+        """Learn the ids of ``lead`` + chunk; ``lead`` None: a chunk is not cut further."""
+        memo = self.memo
+        if len(memo) + len(self.words) + 2 * len(chunks) > self.limit:
+            memo.clear()
+            self.words.clear()
+        if lead is None:
+            return self._library([c for c in chunks if c not in memo])
+        parts = [(c, self.pieces(lead + c)) for c in chunks]
+        self._library(list({p for _, ps in parts for p in ps if p not in memo}))
+        for chunk, ps in parts:
+            into[chunk] = memo[ps[0]] if len(ps) == 1 else b"".join([memo[p] for p in ps])
+        return None
+
+    def _look_up(self, chunks: list[str], lead: str | None, into: dict[str, bytes]) -> bytes | None:
         for _ in range(3):  # learning may start the memo anew, then once more
-            ids = list(map(self.memo.get, chunks))
+            ids = list(map(into.get, chunks))
             if None not in ids:
                 return b"".join(ids)
             missing = {c for c, known in zip(chunks, ids) if known is None}
-            if len(missing) > self.limit // 2:
-                break
-            self._learn(missing)
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(missing) > self.limit // 4:
+                return None
+            self._learn(missing, lead, into)
+        return None
+
+    def _plain(self, text: str) -> bool:
+        """Latin-1 without separators, where words are what lies between single spaces."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        if SEPARATORS.search(text):
+            return False
+        if self.style == "dropped_space":
+            return True
+        return not (text[:1].isspace() or text[-1:].isspace() or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in OTHER_WHITE))
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers; null is the empty text."""
+        if not text:
+            return b""
+        if self._plain(text):
+            if self.style == "dropped_space":
+                ids = self._look_up(text.lower().split(), "", self.words)  # lower case as in the vocabulary's own normalizer
+            else:
+                head, *rest = text.split(" ")
+                ids = self._look_up([head], None, self.memo)
+                if rest and ids is not None:
+                    more = self._look_up(rest, " ", self.words)
+                    ids = None if more is None else ids + more
+        else:
+            chunks = LEADING_SPACE.split(text) if self.lead or SEPARATORS.search(text) else text.split()
+            ids = self._look_up(chunks, None, self.memo)
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes() if ids is None else ids
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, style: str, memo_entries: int = 700_000) -> ChunkEncoder:
+def encoder(path: str, style: str, memo_entries: int = 1_000_000) -> ChunkEncoder:
     """One encoder per Python worker."""
     return ChunkEncoder(path, style, memo_entries)
