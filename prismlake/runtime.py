@@ -43,15 +43,35 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/prismlake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Cuts the lineage with files that survive the loss of an executor, and keeps an
-    expensive input from being computed once for each of its consumers.
+    expensive input from being computed once for each of its consumers. The shuffle files
+    behind the table are released as soon as it is written.
     """
-    path = staging_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
