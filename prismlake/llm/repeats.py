@@ -4,13 +4,15 @@ Only the order of suffixes through the first ``threshold`` bytes matters: two su
 agree so far belong to one group, and the groups are exactly the repeated windows. The sort
 goes most significant digit first, and a suffix that is alone in its bucket leaves it:
 
-1. First digit: the rarest-hash block of ``ANCHOR`` bytes inside the window (leftmost, if
-   alike). It depends on the window's bytes alone, so equal windows get equal digits and equal
-   offsets to it. Neighbouring windows mostly share one block; such a run of suffixes is one
-   row until a later digit tells its members apart, some 137 suffixes to a row.
-2. Second digit: all bytes that the suffixes of a run cover. Runs that agree are repeated as a
-   whole and leave with one representative.
-3. Last digit: in buckets of the first digit that still hold different runs, each suffix by
+1. First pass, two digits. The first is the block of ``ANCHOR`` bytes inside the window with the
+   least fingerprint (the leftmost, if alike). It depends on the window's bytes alone, so equal
+   windows have equal first digits at equal places. Neighbouring windows mostly share it; such a
+   run of suffixes is one row, until a later digit tells its members apart. The second digit is
+   all bytes that the suffixes of a run cover: runs that agree repeat as a whole, and one of
+   them goes on.
+2. Second pass, in buckets that hold several kinds of run: runs are cut into blocks of
+   ``PLACES`` suffixes. First the bytes that every window of a block holds, then all its bytes.
+3. Third pass, in buckets of the second that hold several kinds of block: each suffix by
    itself, with all ``threshold`` bytes.
 
 A digit is a 64-bit fingerprint of its bytes, made by doubling (the fingerprint of 2n bytes
@@ -20,8 +22,8 @@ with map-side combining and joined by sort-merge join, whose skewed partitions S
 no bucket is ever collected in one task.
 
 Texts are UTF-8 bytes; null and short texts have no window and come back whole. Repeated rows
-repeat each other. Very long texts are handled
-in slices that overlap by a window. An empty table gives an empty result.
+repeat each other. Very long texts are handled in slices that overlap by a window. An empty
+table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ from pyspark.sql import functions as F
 from prismlake import runtime
 
 ANCHOR = 128
+PLACES = 16
 SLICE = 1 << 20
 
 KEY = ["k1", "k2"]
 RUNS = "k1 long, k2 long, at int, size int, anchor long, run long"
-WINDOWS = "k1 long, k2 long, at int, anchor long, place int, window long, n long"
+BLOCKS = "k1 long, k2 long, at int, size int, anchor long, block int, shared long, bytes long, n long"
+WINDOWS = "k1 long, k2 long, at int, anchor long, place int, bytes long, n long"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _S = np.uint64(32)
@@ -84,44 +88,50 @@ def _leftmost_minimum(key: np.ndarray, width: int) -> np.ndarray:
     return (x & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
-def _windows(h128: np.ndarray, h256: np.ndarray, at: np.ndarray, threshold: int) -> np.ndarray:
-    """Fingerprints of whole windows; overlapping blocks cover every byte."""
-    if threshold <= 256:
-        return _mix(h128[at], h128[at + threshold - 128])
-    out = h256[at]
-    for k in range(256, threshold - 256, 256):
-        out = _mix(out, h256[at + k])
-    return _mix(out, h256[at + threshold - 256])
-
-
-def runs_of(data: np.ndarray, threshold: int) -> tuple[np.ndarray, ...] | None:
-    """(first start, number of starts, anchor digit, run digit) of one slice's runs."""
-    if len(data) < threshold:
-        return None
-    h = doubled(data, (ANCHOR, 256))
-    h128, h256 = h[ANCHOR], h[256]
-    owner = _leftmost_minimum(h128, threshold - ANCHOR + 1)
-    cut = np.flatnonzero(np.diff(owner)) + 1
-    first = np.concatenate([[0], cut])
-    count = np.diff(np.append(first, len(owner)))
-    place = owner[first] - first
-    length = threshold + count - 1
-    # blocks of 256 (128 for a short threshold) from the front, and one at the end
-    block = h256 if threshold >= 256 else h128
-    step = 256 if threshold >= 256 else 128
-    run = _mix(block[first], (place * 4096 + count).astype(np.uint64))
-    for k in range(step, int(length.max()), step):
-        on = length > k
-        run[on] = _mix(run[on], block[first[on] + np.minimum(k, length[on] - step)])
-    return first, count, h128[owner[first]], run
-
-
-def windows_of(data: np.ndarray, threshold: int, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, place of the anchor, its digit, window digit) of every suffix of the given runs."""
-    h = doubled(data, (ANCHOR, 256))
-    at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-    owner = _leftmost_minimum(h[ANCHOR], threshold - ANCHOR + 1)
-    return at, owner[at] - at, h[ANCHOR][owner[at]], _windows(h[ANCHOR], h[256], at, threshold)
+class Prints:
+    """Fingerprints of substrings of one slice."""
+
+    def __init__(self, data: np.ndarray, threshold: int):
+        h = doubled(data, (ANCHOR, 256))
+        self.anchor, self.wide, self.threshold = h[ANCHOR], h[256], threshold
+        self.owner = _leftmost_minimum(h[ANCHOR], threshold - ANCHOR + 1)
+
+    def span(self, at: np.ndarray, length: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        """Of ``length`` (``ANCHOR`` at least) bytes from ``at``: blocks that cover every byte."""
+        block, step = (self.wide, 256) if self.threshold - PLACES + 1 >= 256 else (self.anchor, ANCHOR)
+        out = _mix(block[at], (length * 65536 + salt).astype(np.uint64))
+        for k in range(step, int(length.max(initial=0)), step):
+            on = length > k
+            out[on] = _mix(out[on], block[at[on] + np.minimum(k, length[on] - step)])
+        return out
+
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """(first start, number of starts, first digit, second digit) of all runs."""
+        first = np.concatenate([[0], np.flatnonzero(np.diff(self.owner)) + 1])
+        size = np.diff(np.append(first, len(self.owner)))
+        place = self.owner[first] - first
+        return first, size, self.anchor[self.owner[first]], self.span(first, self.threshold - 1 + size, place)
+
+    def blocks(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first start, number of starts, first digit, block, shared bytes, all bytes) of runs cut
+        at multiples of ``PLACES`` places before the anchor. Every window of a block holds its
+        shared bytes; all its windows together cover all its bytes."""
+        anchor = self.owner[first]
+        high, low = anchor - first, anchor - first - size + 1  # places of the first and last start
+        per = high // PLACES - low // PLACES + 1
+        run = np.repeat(np.arange(len(first)), per)
+        block = high[run] // PLACES - (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
+        top, bottom = np.minimum(high[run], block * PLACES + PLACES - 1), np.maximum(low[run], block * PLACES)
+        at, count = anchor[run] - top, top - bottom + 1
+        shared = self.span(anchor[run] - block * PLACES, np.full(len(at), self.threshold - PLACES + 1))
+        return at, count, self.anchor[anchor[run]], block, shared, self.span(at, self.threshold - 1 + count, top % PLACES), run
+
+    def windows(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, first digit, place of the anchor, all bytes) of every suffix."""
+        run = np.repeat(np.arange(len(first)), size)
+        at = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        owner = self.owner[at]
+        return at, self.anchor[owner], owner - at, self.span(at, np.full(len(at), self.threshold)), run
 
 
 def _slices(size: int, threshold: int):
@@ -145,59 +155,91 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
 
 
-def repeated_spans(keyed: DataFrame, threshold: int) -> DataFrame:
-    """Runs of starts whose windows all repeat: the key and ``spans``, an array of (at, size)."""
-    if threshold < ANCHOR:
-        raise ValueError(f"the threshold is {ANCHOR} bytes at least")
-    runtime.bounded_arrow_batches(keyed.sparkSession)
+def _rows(keyed: DataFrame, schema: str, threshold: int, make, runs: DataFrame | None = None) -> DataFrame:
+    """Suffix rows of ``schema`` (key, at, ...) that ``make(prints, runs of the slice)`` gives.
 
-    def runs(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                for low, high in _slices(len(data), threshold):
-                    found = runs_of(data[low:high], threshold)
-                    if found:
-                        n = len(found[0])
-                        for into, x in zip(out, (np.full(n, k1), np.full(n, k2), found[0] + low, *found[1:])):
-                            into.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([_column(x, k) for x, k in zip(out, kinds)], ["k1", "k2", "at", "size", "anchor", "run"])
-
-    found = runtime.stage_table(keyed.select(*KEY, "text").mapInArrow(runs, RUNS), "suffix-runs")
-
-    # digits 1 and 2: how many runs are alike, and one of them
-    alike = found.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at", "size")).alias("one"))
-    kinds = found.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor")
-    alike = runtime.stage_table(alike.join(kinds, "anchor"), "suffix-buckets")
-    whole = found.join(alike.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select(*KEY, "at", "size")
-    # one run of each kind, from buckets that hold several kinds
-    mixed = alike.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    open_runs = alike.join(mixed, "anchor").select("one.*", "n").groupBy(*KEY).agg(F.collect_list(F.struct("at", "size", "n")).alias("runs"))
-
-    def expand(batches):
+    ``runs`` (key, at, size, n) restricts the texts to some of their suffixes.
+    """
+    fields = [f.strip().split() for f in schema.split(",")]
+    kinds = [{"long": pa.int64(), "int": pa.int32()}[kind] for _, kind in fields]
+
+    def each(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for k1, k2, text, some in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            out: list[list] = [[] for _ in fields]
+            given = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for k1, k2, text, some in zip(*(batch.column(i).to_pylist() for i in range(3)), given):
                 data = np.frombuffer((text or "").encode(), np.uint8)
-                at, size, n = (np.array([r[k] for r in some], np.int64) for k in ("at", "size", "n"))
+                where = None if some is None else [np.array([r[k] for r in some], np.int64) for k in ("at", "size", "n")]
                 for low, high in _slices(len(data), threshold):
-                    here = (at >= low) & (at < low + SLICE)
-                    if here.any():
-                        starts, place, anchor, window = windows_of(data[low:high], threshold, at[here] - low, size[here])
-                        m = len(starts)
-                        for into, x in zip(out, (np.full(m, k1), np.full(m, k2), starts + low, anchor, place, window, np.repeat(n[here], size[here]))):
-                            into.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([_column(x, k) for x, k in zip(out, kinds)], ["k1", "k2", "at", "anchor", "place", "window", "n"])
-
-    suffixes = runtime.stage_table(keyed.join(open_runs, KEY).select(*KEY, "text", "runs").mapInArrow(expand, WINDOWS), "suffixes")
-    # digit 3; a run that occurs twice is found as a whole, but is a partner for other runs' windows
-    digit = ["anchor", "place", "window"]
-    groups = suffixes.groupBy(*digit).agg(F.sum("n").alias("times")).where("times > 1").select(*digit)
-    single = suffixes.where("n = 1").join(groups, digit).select(*KEY, "at", F.lit(1).alias("size"))
-    return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("at", "size")).alias("spans"))
+                    if high - low < threshold:
+                        continue
+                    if where is None:
+                        columns = make(Prints(data[low:high], threshold), None, None, None)
+                    else:
+                        here = (where[0] >= low) & (where[0] < low + SLICE)
+                        if not here.any():
+                            continue
+                        columns = make(Prints(data[low:high], threshold), where[0][here] - low, where[1][here], where[2][here])
+                    m = len(columns[0])
+                    for into, x in zip(out, (np.full(m, k1), np.full(m, k2), columns[0] + low, *columns[1:])):
+                        into.append(x)
+            yield pa.RecordBatch.from_arrays([_column(x, k) for x, k in zip(out, kinds)], [name for name, _ in fields])
+
+    source = keyed.select(*KEY, "text")
+    if runs is not None:
+        lists = runs.groupBy(*KEY).agg(F.collect_list(F.struct("at", "size", "n")).alias("runs"))
+        source = source.join(lists, KEY).select(*KEY, "text", "runs")
+    return source.mapInArrow(each, schema)
+
+
+def _sift(rows: DataFrame, bucket: list[str], kind: str, name: str) -> DataFrame:
+    """One pass: of ``rows``, those whose bucket has others, stored with ``total`` (members of
+    their kind) and ``open`` (the bucket has several kinds, one of them alone)."""
+    kinds = rows.groupBy(*bucket, kind).agg(F.sum("n").alias("total"))
+    live = kinds.groupBy(*bucket).agg(F.count("*").alias("kinds"), F.sum("total").alias("members"), F.min("total").alias("least")).where("members > 1")
+    marks = kinds.join(live, bucket).select(*bucket, kind, "total", F.expr("kinds > 1 and least = 1").alias("open")).where("total > 1 or open")
+    return runtime.stage_table(rows.join(marks, [*bucket, kind]), name)
+
+
+def _open(sifted: DataFrame, bucket: list[str], kind: str) -> DataFrame:
+    """One row of each kind in open buckets, with the number that it stands for."""
+    one = F.min(F.struct(*KEY, "at", "size")).alias("one")
+    return sifted.where("open").groupBy(*bucket, kind).agg(one, F.max("total").alias("n")).select("one.*", "n")
+
+
+def _whole(sifted: DataFrame) -> DataFrame:
+    """Rows that repeat as a whole; those standing for several were found so before."""
+    return sifted.where("n = 1 and total > 1").select(*KEY, "at", "size")
+
+
+def repeated_spans(keyed: DataFrame, threshold: int) -> DataFrame:
+    """Runs of starts whose windows all repeat: the key and ``spans``, an array of (at, size)."""
+    if threshold < ANCHOR + PLACES:
+        raise ValueError(f"the threshold is {ANCHOR + PLACES} bytes at least")
+    runtime.bounded_arrow_batches(keyed.sparkSession)
+
+    def all_runs(prints, *_):
+        return prints.runs()
+
+    def cut_runs(prints, at, size, n):
+        *columns, run = prints.blocks(at, size)
+        return *columns, n[run]
+
+    def suffixes(prints, at, size, n):
+        *columns, run = prints.windows(at, size)
+        return *columns, n[run]
+
+    runs = runtime.stage_table(_rows(keyed, RUNS, threshold, all_runs), "suffix-runs")
+    first = _sift(runs.withColumn("n", F.lit(1)), ["anchor"], "run", "suffix-pass-1")
+    runtime.drop_staged(runs)
+    blocks = runtime.stage_table(_rows(keyed, BLOCKS, threshold, cut_runs, _open(first, ["anchor"], "run")), "suffix-blocks")
+    second = _sift(blocks, ["anchor", "block", "shared"], "bytes", "suffix-pass-2")
+    runtime.drop_staged(blocks)
+    windows = runtime.stage_table(_rows(keyed, WINDOWS, threshold, suffixes, _open(second, ["anchor", "block", "shared"], "bytes")), "suffix-windows")
+    third = _sift(windows.withColumn("size", F.lit(1)), ["anchor", "place"], "bytes", "suffix-pass-3")
+    runtime.drop_staged(windows)
+    found = _whole(first).unionByName(_whole(second)).unionByName(_whole(third))
+    return found.groupBy(*KEY).agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
 
 def covered(spans: list[dict] | None, threshold: int) -> list[tuple[int, int]]:
