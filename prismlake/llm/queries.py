@@ -46,12 +46,19 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_records": op2_token_records,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_telephony_media": op5_telephony_media,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
