@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prismlake.llm import chat, metric_join
 from prismlake.runtime import table
 
 
@@ -14,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.llm.token_records import token_records
 
@@ -52,13 +57,28 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.chat import chat_digest, with_marked
+
+    return chat_digest(with_marked(table(spark, sf_dir, "conversations")))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_token_records": op2_token_records,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_telephony_media": op5_telephony_media,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": metric_join.ORACLE, "op8_chat_formatting": chat.oracle()}
