@@ -57,6 +57,12 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.secrets import labelled_findings, scan, train
+
+    return scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.llm.chat import chat_digest, with_marked
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_telephony_media": op5_telephony_media,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_quality_classifier": op10_quality_classifier,
