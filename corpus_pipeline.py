@@ -1,13 +1,61 @@
-"""The corpus pipeline: its stages applied to ``documents``, each written and read again."""
+"""The corpus pipeline: its stages applied to ``documents``, each written and read again.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage is one operator of ``prismlake.llm``. All but the last return the columns of
+``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismlake.llm import packing, quality, queries, repeats, secrets, simhash
+from prismlake.runtime import stage_table, table
+
+#: Bytes of a repeated passage: below 50 words of prose in any of the languages.
+PASSAGE = 256
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from ``labels``, doesn't reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
-def run(spark, sf_dir):
-    from prismlake.runtime import stage_table, table
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that occur more than once."""
+    return repeats.without_repeats(docs, PASSAGE)
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret replaced."""
+    clean = secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed into sequences of 4096."""
+    return packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("simhash near-dedup", one_of_each),
+    ("suffix-array dedup", no_repeats),
+    ("secret scan", no_secrets),
+    ("best-fit packing", packed),
+]
+
+#: No stage but the packing's bookkeeping can be put in SQL; tests hold each against brute force.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name)
+        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

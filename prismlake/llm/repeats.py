@@ -4,7 +4,7 @@ Only the order of suffixes through the first ``threshold`` bytes matters: two su
 agree so far belong to one group, and the groups are exactly the repeated windows. The sort
 goes most significant digit first, and a suffix that is alone in its bucket leaves it:
 
-1. First pass, two digits. The first is the block of ``ANCHOR`` bytes inside the window with the
+1. First pass, two digits. The first is the block (a third of the window) inside the window with the
    least fingerprint (the leftmost, if alike). It depends on the window's bytes alone, so equal
    windows have equal first digits at equal places. Neighbouring windows mostly share it; such a
    run of suffixes is one row, until a later digit tells its members apart. The second digit is
@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 
 from prismlake import runtime
 
-ANCHOR = 128
 PLACES = 16
 SLICE = 1 << 20
 
@@ -88,17 +87,27 @@ def _leftmost_minimum(key: np.ndarray, width: int) -> np.ndarray:
     return (x & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
+def sizes(threshold: int) -> tuple[int, int]:
+    """Bytes of the first digit, and of the blocks that longer digits are made of: the largest
+    powers of two up to a third of the window, and up to what all windows of a block share."""
+    shared = threshold - PLACES + 1
+    if shared < 32:
+        raise ValueError(f"the threshold is {31 + PLACES} bytes at least")
+    return 1 << ((threshold // 3).bit_length() - 1), 1 << (shared.bit_length() - 1)
+
+
 class Prints:
     """Fingerprints of substrings of one slice."""
 
     def __init__(self, data: np.ndarray, threshold: int):
-        h = doubled(data, (ANCHOR, 256))
-        self.anchor, self.wide, self.threshold = h[ANCHOR], h[256], threshold
-        self.owner = _leftmost_minimum(h[ANCHOR], threshold - ANCHOR + 1)
+        size, self.step = sizes(threshold)
+        h = doubled(data, (size, self.step))
+        self.anchor, self.block, self.threshold = h[size], h[self.step], threshold
+        self.owner = _leftmost_minimum(self.anchor, threshold - size + 1)
 
     def span(self, at: np.ndarray, length: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        """Of ``length`` (``ANCHOR`` at least) bytes from ``at``: blocks that cover every byte."""
-        block, step = (self.wide, 256) if self.threshold - PLACES + 1 >= 256 else (self.anchor, ANCHOR)
+        """Of ``length`` (a block at least) bytes from ``at``: blocks that cover every byte."""
+        block, step = self.block, self.step
         out = _mix(block[at], (length * 65536 + salt).astype(np.uint64))
         for k in range(step, int(length.max(initial=0)), step):
             on = length > k
@@ -214,8 +223,7 @@ def _whole(sifted: DataFrame) -> DataFrame:
 
 def repeated_spans(keyed: DataFrame, threshold: int) -> DataFrame:
     """Runs of starts whose windows all repeat: the key and ``spans``, an array of (at, size)."""
-    if threshold < ANCHOR + PLACES:
-        raise ValueError(f"the threshold is {ANCHOR + PLACES} bytes at least")
+    sizes(threshold)
     runtime.bounded_arrow_batches(keyed.sparkSession)
 
     def all_runs(prints, *_):
@@ -255,18 +263,17 @@ def covered(spans: list[dict] | None, threshold: int) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), end[last].tolist()))
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
     """Remove every byte that a repeated ``threshold``-byte string covers.
 
-    Result: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also the
-    remaining ``text`` (a character that is cut inside goes as a whole).
+    Result: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
     """
     keyed = with_key(docs)
     spans = repeated_spans(keyed, threshold)
 
     def cut(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = (text or "").encode()
                 gone = covered(found, threshold)
@@ -276,10 +283,43 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = False) -
                     at = end
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                for into, x in zip(out, (len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), None if text is None else b"".join(p.decode(errors="ignore").encode() for p in kept).decode() if texts else None)):
+                for into, x in zip(out, (len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest())):
                     into.append(x)
-            cols = [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.string())] + [pa.array(out[4], pa.string())] * texts
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 5 + texts])
+            cols = [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = keyed.join(spans, KEY, "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * texts)
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, threshold: int) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``; ``n_chars``, if there, is counted anew.
+
+    A character that is cut inside goes as a whole. Rows keep their other columns, and stay even
+    if nothing is left of their text.
+    """
+    own = {"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_k2": F.xxhash64("text")}
+    keyed = docs.withColumns(own)
+    spans = repeated_spans(keyed.selectExpr("_k1 k1", "_k2 k2", "text"), threshold).selectExpr("k1 _k1", "k2 _k2", "spans _spans")
+    joined = keyed.join(spans, ["_k1", "_k2"], "left").select(*docs.columns, "_spans")
+    names = docs.columns
+    at, last = names.index("text"), len(names)
+
+    def cut(batches):
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist()):
+                if found:
+                    data, here, kept = text.encode(), 0, []
+                    for begin, end in covered(found, threshold):
+                        kept.append(data[here:begin])
+                        here = end
+                    kept.append(data[here:])
+                    text = "".join([k.decode(errors="ignore") for k in kept])
+                texts.append(text)
+            columns = list(batch.columns[:last])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = joined.mapInArrow(cut, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
