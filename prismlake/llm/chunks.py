@@ -38,7 +38,7 @@ class ChunkEncoder:
     ``memo_entries`` bounds the memo; beyond it the memo starts anew.
     """
 
-    def __init__(self, path: str, style: str, memo_entries: int = 1_000_000):
+    def __init__(self, path: str, style: str, memo_entries: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         import regex
         from tokenizers import Tokenizer
@@ -48,39 +48,61 @@ class ChunkEncoder:
         self.style, self.limit = style, memo_entries
         self.lead = " " if style == "leading_space" else ""
         self.pieces = regex.compile(PATTERNS[style]).findall
-        self.memo: dict[str, bytes] = {}  # ids of pieces
         self.words: dict[str, bytes] = {}  # ids of words, with the space before them if it counts
+        self.memo: dict[str, bytes] = {} if self.lead else self.words  # ids of pieces without one
 
-    def _library(self, pieces: list[str]) -> None:
+    def _library(self, pieces: list[str], lead: str, into: dict[str, bytes]) -> None:
         for i in range(0, len(pieces), 4096):
             part = pieces[i : i + 4096]
-            for piece, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[piece] = array("I", enc.ids).tobytes()
-
-    def _learn(self, chunks: set[str], lead: str | None, into: dict[str, bytes]) -> None:
-        """Learn the ids of ``lead`` + chunk; ``lead`` None: a chunk is not cut further."""
-        memo = self.memo
-        if len(memo) + len(self.words) + 2 * len(chunks) > self.limit:
+            text = [lead + p for p in part] if lead else part
+            for piece, enc in zip(part, self.tok.encode_batch_fast(text, add_special_tokens=False)):
+                into[piece] = array("I", enc.ids).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Learn words: cut by the pattern, of which plain words need no run, and compose."""
+        words, memo, lead = self.words, self.memo, self.lead
+        if len(words) + len(memo) + len(chunks) > self.limit:
+            words.clear()
             memo.clear()
-            self.words.clear()
-        if lead is None:
-            return self._library([c for c in chunks if c not in memo])
-        parts = [(c, self.pieces(lead + c)) for c in chunks]
-        self._library(list({p for _, ps in parts for p in ps if p not in memo}))
-        for chunk, ps in parts:
-            into[chunk] = memo[ps[0]] if len(ps) == 1 else b"".join([memo[p] for p in ps])
-        return None
-
-    def _look_up(self, chunks: list[str], lead: str | None, into: dict[str, bytes]) -> bytes | None:
-        for _ in range(3):  # learning may start the memo anew, then once more
-            ids = list(map(into.get, chunks))
-            if None not in ids:
-                return b"".join(ids)
-            missing = {c for c, known in zip(chunks, ids) if known is None}
-            if len(missing) > self.limit // 4:
-                return None
-            self._learn(missing, lead, into)
-        return None
+        new, rest, composed = set(), set(), []
+        for c in chunks:
+            if c.isalpha():
+                new.add(c)
+                continue
+            if c[-1] in ".,!?:;" and c[:-1].isalpha():
+                head, tail = c[:-1], [c[-1]]
+            else:
+                head, *tail = self.pieces(lead + c)
+                head = head.removeprefix(lead)
+            if head == c:
+                new.add(c)
+                continue
+            composed.append((c, head, tail))
+            if head not in words:
+                new.add(head)
+            rest.update([t for t in tail if t not in memo])
+        self._library(list(new), lead, words)
+        self._library(list(rest), "", memo)
+        for c, head, tail in composed:
+            words[c] = words[head] + b"".join([memo[t] for t in tail])
+
+    def _words(self, words: list[str]) -> bytes:
+        """ids of words, each with the space before it if it counts."""
+        known = self.words
+        ids = list(map(known.get, words))
+        if None in ids:
+            new = [i for i, k in enumerate(ids) if k is None]
+            self._learn({words[i] for i in new})
+            for i in new:
+                ids[i] = known[words[i]]
+        return b"".join(ids)
+
+    def _chunks(self, chunks: list[str]) -> bytes:
+        """ids of chunks that aren't cut further."""
+        if len(self.memo) + len(chunks) > self.limit:
+            self.memo.clear()
+        self._library(list({c for c in chunks if c not in self.memo}), "", self.memo)
+        return b"".join([self.memo[c] for c in chunks])
 
     def _plain(self, text: str) -> bool:
         """Latin-1 without separators, where words are what lies between single spaces."""
@@ -99,22 +121,15 @@ class ChunkEncoder:
         """The ids as little-endian unsigned 32-bit integers; null is the empty text."""
         if not text:
             return b""
-        if self._plain(text):
-            if self.style == "dropped_space":
-                ids = self._look_up(text.lower().split(), "", self.words)  # lower case as in the vocabulary's own normalizer
-            else:
-                head, *rest = text.split(" ")
-                ids = self._look_up([head], None, self.memo)
-                if rest and ids is not None:
-                    more = self._look_up(rest, " ", self.words)
-                    ids = None if more is None else ids + more
-        else:
-            chunks = LEADING_SPACE.split(text) if self.lead or SEPARATORS.search(text) else text.split()
-            ids = self._look_up(chunks, None, self.memo)
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes() if ids is None else ids
+        if not self._plain(text):
+            return self._chunks(LEADING_SPACE.split(text) if self.lead or SEPARATORS.search(text) else text.split())
+        if self.style == "dropped_space":
+            return self._words(text.lower().split())  # lower case as in the vocabulary's own normalizer
+        head, *rest = text.split(" ")
+        return self._chunks([head]) + self._words(rest)
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, style: str, memo_entries: int = 1_000_000) -> ChunkEncoder:
+def encoder(path: str, style: str, memo_entries: int = 1_200_000) -> ChunkEncoder:
     """One encoder per Python worker."""
     return ChunkEncoder(path, style, memo_entries)

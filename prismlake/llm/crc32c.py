@@ -17,15 +17,24 @@ MASK_DELTA = 0xA282EAD8  # of the masked checksums in length-delimited record fi
 
 
 @functools.cache
-def _slices() -> np.ndarray:
-    """Four tables: the register after a byte and 0 to 3 zero bytes."""
+def _byte_table() -> np.ndarray:
+    """The register after one byte."""
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         t = np.where(t & 1, (t >> 1) ^ np.uint32(POLY), t >> 1).astype(np.uint32)
-    tables = [t]
-    for _ in range(3):
-        tables.append(t[tables[-1] & 0xFF] ^ (tables[-1] >> 8))
-    return np.stack(tables)
+    return t
+
+
+@functools.cache
+def _word_tables() -> np.ndarray:
+    """Two tables of 65536: the register after four bytes is one entry of each, combined."""
+    t = _byte_table()
+    step = lambda x: t[x & 0xFF] ^ (x >> 8)
+    low = np.arange(65536, dtype=np.uint32)
+    high = low << np.uint32(16)
+    for _ in range(4):
+        low, high = step(low), step(high)
+    return np.stack([low, high])
 
 
 def _apply(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -36,7 +45,7 @@ def _apply(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _zeros(power: int) -> np.ndarray:
     """Four byte tables of the map that appends ``2**power`` zero bytes."""
     if power == 0:
-        t0, basis = _slices()[0], np.uint32(1) << np.arange(32, dtype=np.uint32)
+        t0, basis = _byte_table(), np.uint32(1) << np.arange(32, dtype=np.uint32)
         images = t0[basis & 0xFF] ^ (basis >> 8)
     else:
         half = _zeros(power - 1)
@@ -58,26 +67,23 @@ def _append_zeros(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def crc32c(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Checksums (uint32) of ``data[starts[i] : starts[i] + lengths[i]]``; an empty range has 0."""
-    starts, lengths = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
+    data, starts, lengths = np.asarray(data, np.uint8), np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
     if not len(starts):
         return np.zeros(0, np.uint32)
-    blocks = np.maximum(1, -(-lengths // BLOCK))
+    size = BLOCK if lengths.max() > 8 else 8
+    blocks = np.maximum(1, -(-lengths // size))
+    padded, ends = np.zeros(int(blocks.sum()) * size, np.uint8), np.cumsum(blocks) * size
+    for start, length, end in zip(starts.tolist(), lengths.tolist(), ends.tolist()):
+        padded[end - length : end] = data[start : start + length]
+    words = np.ascontiguousarray(padded.view("<u4").reshape(-1, size // 4).T)
+    register, (low, high) = np.zeros(words.shape[1], np.uint32), _word_tables()
+    for word in words:
+        register ^= word
+        register = low[register & np.uint32(0xFFFF)] ^ high[register >> np.uint32(16)]
     owner = np.repeat(np.arange(len(starts)), blocks)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    behind = blocks[owner] - 1 - place  # whole blocks that follow in the range
-    begin = starts[owner] + lengths[owner] - (behind + 1) * BLOCK  # may lie before the range
-    register, tables = np.zeros(len(owner), np.uint32), _slices()
-    padded = np.concatenate([np.zeros(BLOCK, np.uint8), np.asarray(data, np.uint8)])
-    for step in range(0, BLOCK, 4):
-        at = begin + step
-        word = np.zeros(len(owner), np.uint32)
-        for k in range(4):
-            byte = padded[np.maximum(at + k, -BLOCK) + BLOCK]
-            word |= np.where(at + k >= starts[owner], byte, 0).astype(np.uint32) << np.uint32(8 * k)
-        register = _apply(tables[::-1], register ^ word)
-    moved = _append_zeros(register, behind * BLOCK)
+    behind = np.repeat(np.cumsum(blocks), blocks) - 1 - np.arange(len(owner))  # whole blocks that follow in the range
     out = _append_zeros(np.full(len(starts), 0xFFFFFFFF, np.uint32), lengths)
-    np.bitwise_xor.at(out, owner, moved)
+    np.bitwise_xor.at(out, owner, _append_zeros(register, behind * size))
     return out ^ np.uint32(0xFFFFFFFF)
 
 
