@@ -1 +1,133 @@
+"""Images, bands and features as queries; the image of a row is its vector as 4 x 4 x 4."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prismlake.functions import augment, images
+from prismlake.operators import heads
+from prismlake.plans.views import samples
+from prismlake.runtime import table
+from prismlake.sources import samples as model
+from prismlake.sources import synthetic
+
 QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def image_rows(spark, sf) -> DataFrame:
+    image = F.struct(F.lit(4).alias("c"), F.lit(4).alias("h"), F.lit(4).alias("w"), F.col("raw").cast("array<float>").alias("data"))
+    raw = table(spark, sf, "embeddings").select(F.col("vec_id").alias("gallery_index"), F.col("embedding").alias("raw"))
+    return samples(spark, sf).drop("embedding").join(raw, "gallery_index").withColumn("image", image).drop("raw")
+
+
+PIXELS = """px as (select vec_id, cast((k - 1) // 16 as int) as band, (k - 1) % 16 // 4 as y, (k - 1) % 4 as x, v
+  from (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as k from embeddings))"""
+
+
+def _pixels(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).select("vec_id", F.expr("k div 16").cast("int").alias("band"), F.expr("k % 16 div 4").alias("y"), F.expr("k % 4").alias("x"), F.col("v").cast("double").alias("v"))
+
+
+@query(f"with {PIXELS} select vec_id, band, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as deviation from px group by all")
+def band_statistics(spark, sf):
+    return _pixels(spark, sf).groupBy("vec_id", "band").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("deviation"))
+
+
+@query(f"with {PIXELS}, p as (select vec_id, band, quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from px where band < 3 group by all) select px.vec_id, cast(px.band as int) as band, px.y, px.x, round(least(greatest((v - lo) / (hi - lo), 0), 1), 5) as v from px join p on px.vec_id = p.vec_id and px.band = p.band where hi > lo")
+def percentile_stretch(spark, sf):
+    rows = images.map_images(image_rows(spark, sf).select("gallery_index", "image"), lambda x: images.stretch(x[:3].astype("float64")).ravel(), out="array<double>")
+    out = rows.select(F.col("gallery_index").alias("vec_id"), F.posexplode("image").alias("k", "v"))
+    return out.select("vec_id", F.expr("k div 16").cast("int").alias("band"), F.expr("cast(k % 16 div 4 as bigint)").alias("y"), F.expr("cast(k % 4 as bigint)").alias("x"), F.round("v", 5).alias("v"))
+
+
+@query(f"with {PIXELS}, d as (select vec_id, band, abs(v - lag(v) over (partition by vec_id, band, y order by x)) as dx, abs(v - lag(v) over (partition by vec_id, band, x order by y)) as dy from px) select vec_id, band, round(avg(dx), 6) as dx, round(avg(dy), 6) as dy from d group by all")
+def gradient_energy(spark, sf):
+    from pyspark.sql import Window
+
+    rows = _pixels(spark, sf)
+    side = lambda a, b: F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("vec_id", "band", a).orderBy(b)))
+    return rows.withColumn("dx", side("y", "x")).withColumn("dy", side("x", "y")).groupBy("vec_id", "band").agg(F.round(F.avg("dx"), 6).alias("dx"), F.round(F.avg("dy"), 6).alias("dy"))
+
+
+@query(f"with {PIXELS} select a.vec_id, a.band as band_a, b.band as band_b, round(corr(a.v, b.v), 6) as correlation from px a join px b on a.vec_id = b.vec_id and a.y = b.y and a.x = b.x and a.band < b.band group by all")
+def channel_correlation(spark, sf):
+    a = _pixels(spark, sf).withColumnsRenamed({"band": "band_a", "v": "va"})
+    b = _pixels(spark, sf).withColumnsRenamed({"band": "band_b", "v": "vb"})
+    return a.join(b, ["vec_id", "y", "x"]).where("band_a < band_b").groupBy("vec_id", "band_a", "band_b").agg(F.round(F.corr("va", "vb"), 6).alias("correlation"))
+
+
+@query(f"with {PIXELS} select vec_id, cast(band as int) as band, y, x, round(10 * log10(greatest(abs(v), 1e-6)), 4) as db from px")
+def decibels(spark, sf):
+    v = F.abs("v")
+    return _pixels(spark, sf).select("vec_id", "band", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round(10 * F.log10(F.greatest(v, F.lit(1e-6))), 4).alias("db"))
+
+
+@query("select modality, channels from (values ('optical_rgb', 3), ('multispectral', 13), ('sar', 2), ('hyperspectral', 0), ('dem', 1)) t(modality, channels)")
+def modality_channels(spark, sf):
+    return model.modality_table(spark)
+
+
+@query()
+def band_statistics_dimension(spark, sf):
+    return model.band_table(spark)
+
+
+@query()
+def preprocessed_images(spark, sf):
+    rows = image_rows(spark, sf)
+    return images.map_images(rows, lambda x, m: images.preprocess(x, m, 8), extra=["modality"])
+
+
+@query()
+def image_previews(spark, sf):
+    return images.map_images(image_rows(spark, sf), images.preview, extra=["modality"])
+
+
+@query()
+def pseudo_rgb_images(spark, sf):
+    return images.map_images(image_rows(spark, sf), images.pseudo_rgb, extra=["modality"])
+
+
+@query()
+def despeckled_images(spark, sf):
+    return images.map_images(image_rows(spark, sf), lambda x: images.despeckle(x, 3))
+
+
+@query()
+def augmented_images(spark, sf):
+    return images.map_images(image_rows(spark, sf), lambda x, m, i: augment.augmentation(m)(x, augment.seed_of(7, i)), extra=["modality", "id"])
+
+
+@query()
+def statistic_features(spark, sf):
+    run, _ = heads.extractor("statistics", dim=64)
+    return run(image_rows(spark, sf))
+
+
+@query()
+def ensemble_features(spark, sf):
+    run, _ = heads.extractor("statistics", dim=32)
+    flat, _ = heads.extractor("precomputed")
+    rows = image_rows(spark, sf)
+    return heads.ensemble([run(rows), flat(rows)], weights=[0.5, 1.0])
+
+
+@query()
+def synthetic_images(spark, sf):
+    return synthetic.images(spark, classes=4, per_class=3, size=16)
+
+
+@query()
+def synthetic_embeddings(spark, sf):
+    return synthetic.embeddings(spark, classes=5, per_class=6, dim=32)

@@ -1 +1,64 @@
+"""Losses, heads and the whole evaluation pipeline as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prismlake.operators import evaluation, heads, losses, whitening
+from prismlake.plans.views import SAMPLES, held_in, samples
+
 QUERIES, ORACLES = {}, {}
+
+BATCH = f"{SAMPLES}, batch as (select gallery_index as row, u, label, modality from samples where gallery_index < 96)"
+PAIRED = f"{SAMPLES}, a as (select place as row, u from samples where modality = 'optical_rgb' and place < 40), b as (select place as row, u from samples where modality = 'sar' and place < 40), s as (select a.row as i, b.row as j, list_inner_product(a.u, b.u) / 0.07 as z from a, b)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _batch(spark, sf):
+    return samples(spark, sf).where("gallery_index < 96").withColumnRenamed("gallery_index", "row")
+
+
+def _side(spark, sf, modality):
+    return samples(spark, sf).where((F.col("modality") == modality) & (F.col("location_id").cast("int") < 40)).select(F.col("location_id").cast("int").alias("row"), "embedding")
+
+
+def _loss(df):
+    return df.select(F.round("loss", 5).alias("loss"))
+
+
+@query(f"with {PAIRED}, r as (select avg(l) as x from (select ln(sum(exp(z))) - sum(z) filter (i = j) as l from s group by i)), c as (select avg(l) as x from (select ln(sum(exp(z))) - sum(z) filter (i = j) as l from s group by j)) select round((r.x + c.x) / 2, 5) as loss from r, c")
+def symmetric_infonce(spark, sf):
+    return _loss(losses.symmetric_infonce(_side(spark, sf, "optical_rgb"), _side(spark, sf, "sar")))
+
+
+@query(f"with {PAIRED} select round(avg(l), 5) as loss from (select ln(sum(exp(z))) - sum(z) filter (i = j) as l from s group by i)")
+def info_nce(spark, sf):
+    return _loss(losses.info_nce(_side(spark, sf, "optical_rgb"), _side(spark, sf, "sar")))
+
+
+@query(f"with {BATCH}, d as (select a.row, a.label = b.label as same, a.modality <> b.modality as far, 1 - list_inner_product(a.u, b.u) as d from batch a join batch b on a.row <> b.row), e as (select row, coalesce(max(d) filter (same and far), max(d) filter (same)) as p, coalesce(min(d) filter (not same and far), min(d) filter (not same)) as n from d group by row) select round(avg(greatest(p - n + 0.1, 0)), 5) as loss from e where p is not null and n is not null")
+def batch_hard_triplet(spark, sf):
+    return _loss(losses.batch_hard_triplet(_batch(spark, sf)))
+
+
+@query(f"with {BATCH}, d as (select a.row, a.label = b.label as same, list_inner_product(a.u, b.u) as s from batch a join batch b on a.row <> b.row), e as (select row, max(s) filter (not same) as hn, min(s) filter (same) as lp from d group by row), t as (select row, ln(1 + coalesce(sum(exp(-2 * (s - 0.5))) filter (same and s - 0.1 < hn), 0)) as p, ln(1 + coalesce(sum(exp(50 * (s - 0.5))) filter (not same and s + 0.1 > lp), 0)) as n from d join e using (row) where hn is not null and lp is not null group by row) select round(coalesce(avg(p / 2 + n / 50), 0), 5) as loss from t where p > 0 and n > 0")
+def multi_similarity(spark, sf):
+    return _loss(losses.multi_similarity(_batch(spark, sf)))
+
+
+@query()
+def projected_headline(spark, sf):
+    q, g = held_in(spark, sf)
+    model = heads.train_heads(g, d_out=16, hidden=32, steps=20)
+    q, g = heads.project(q, model), heads.project(g, model)
+    whitener = whitening.fit(g, shrinkage=0.1)
+    return evaluation.evaluate(whitening.transform(q, whitener), whitening.transform(g, whitener), [5, 10])["headline"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,25 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/prismlake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    The driver serves the archive itself, so nobody has to install the package on the cluster.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_prismlake_shipped", False):
+        return
+    context._prismlake_shipped = True
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="prismlake-"), "prismlake.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.join("prismlake", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+
+
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -54,6 +74,7 @@ def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     behind the table are released as soon as it is written.
     """
     spark = df.sparkSession
+    ship(spark)
     path = staging_path(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
@@ -76,6 +97,7 @@ def drop_staged(*tables: DataFrame) -> None:
 
 def bounded_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep an Arrow batch of long texts small; never raises a limit the session has set lower."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
@@ -97,4 +119,5 @@ def open_store(uri: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
