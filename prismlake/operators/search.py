@@ -132,7 +132,7 @@ def candidates(queries: DataFrame, gallery: DataFrame, k: int, by_modality: bool
     blocks = max(1, -(-n // BLOCK_ROWS))
     strips = max(parallel, spark.sparkContext.defaultParallelism)
     left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    right = g.withColumn("gb", F.pmod(F.xxhash64("gallery_index"), F.lit(strips)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    right = g.withColumn("gb", F.pmod(F.xxhash64("gallery_index"), F.lit(strips)).cast("int")).withColumn("qb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         words: dict = {}

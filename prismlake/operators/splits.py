@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MULTIPLIER, MODULUS = 2654435761, 4294967296
+MULTIPLIER, SEED_STEP, MODULUS = 2654435761, 2246822519, 4294967296
 
 
 def hash_order(seed: int = 0) -> list[Column]:
-    return [(F.col("gallery_index") * F.lit(MULTIPLIER) + F.lit(seed)) % F.lit(MODULUS), F.col("gallery_index")]
+    return [(F.col("gallery_index") * F.lit(MULTIPLIER) + F.lit(seed * SEED_STEP % MODULUS)) % F.lit(MODULUS), F.col("gallery_index")]
 
 
 def _numbered(df: DataFrame, by: list[str], seed: int) -> DataFrame:

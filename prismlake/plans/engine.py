@@ -65,8 +65,12 @@ class Engine:
 def load_samples(spark: SparkSession, config: store.Config) -> tuple[DataFrame, dict]:
     """Samples and where they come from; synthetic ones stand in only if the configuration allows it, and then say so."""
     d = config.data
+
+    def made() -> DataFrame:
+        return synthetic.embeddings(spark, d.classes, d.per_class, dim=d.dim, seed=config.seed, shift=d.shift)
+
     if d.name == "synthetic":
-        return synthetic.embeddings(spark, seed=config.seed), {"asked": d.name, "used": "synthetic", "fallback": False}
+        return made(), {"asked": d.name, "used": "synthetic", "fallback": False}
     try:
         if d.name == "embeddings":
             return prepare_gallery(derived_samples(spark.read.parquet(d.root))), {"asked": d.name, "used": d.root, "fallback": False}
@@ -74,7 +78,7 @@ def load_samples(spark: SparkSession, config: store.Config) -> tuple[DataFrame,
     except Exception as e:
         if not d.synthetic_fallback:
             raise
-        return synthetic.embeddings(spark, seed=config.seed), {"asked": d.name, "used": "synthetic", "fallback": True, "because": str(e).splitlines()[0][:200]}
+        return made(), {"asked": d.name, "used": "synthetic", "fallback": True, "because": str(e).splitlines()[0][:200]}
 
 
 def run_evaluation(spark: SparkSession, config: store.Config | None = None) -> dict:

@@ -164,7 +164,7 @@ def chance_level(spark, sf):
 
 # splits ---------------------------------------------------------------------------------
 
-HASHED = f"with {SAMPLES}, hashed as (select *, (gallery_index * 2654435761 + 17) % 4294967296 as h from samples)"
+HASHED = f"with {SAMPLES}, hashed as (select *, (gallery_index * 2654435761 + 3836244455) % 4294967296 as h from samples)"
 
 
 @query(f"{HASHED}, numbered as (select *, row_number() over (partition by label order by h, gallery_index) as rn, count(*) over (partition by label) as n from hashed) select gallery_index, label, case when rn <= least(greatest(1, round_even(n * 0.2, 0)), n - 1) then 'query' else 'gallery' end as part from numbered")

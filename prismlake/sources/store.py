@@ -58,6 +58,10 @@ class Data:
     query_fraction: float = 0.2
     balanced: bool = True
     synthetic_fallback: bool = True
+    classes: int = 10
+    per_class: int = 20
+    dim: int = 128
+    shift: float = 2.5
 
 
 @dataclasses.dataclass
@@ -66,7 +70,7 @@ class Whitening:
     by_modality: bool = True
     n_components: int | None = None
     remove_top: int = 0
-    shrinkage: float = 0.1
+    shrinkage: float = 0.9
     fit_on_queries: bool = False
 
 
