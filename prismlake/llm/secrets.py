@@ -41,8 +41,8 @@ DICTIONARY = "password|secret|token|change|example|there|which|their|about|would
 
 _TOKEN = r"[\w+/.~@-]"
 CANDIDATE = rf"""((?i:{KEYWORDS})["']?\s{{0,2}}[:=]\s{{0,2}}["']?)([^\s"',;\u0001\u0002]{{6,}})|({ISSUED})|(?<!{_TOKEN})((?={_TOKEN}*[0-9]){_TOKEN}{{12,}})"""
-#: A text without any of these can't have a candidate; cheap to find.
-HINT = rf"[0-9]|(?i:{KEYWORDS})|PRIVATE KEY"
+#: A text without a digit and without any of these can't have a candidate; cheap to find.
+HINTS = ["=", ":", "PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_", "eyJ"]
 
 FEATURES = ["length", "digits", "upper", "lower", "others", "turns", "spoken", "distinct", "dictionary", "hex", "issued", "path", "asked", "near_keyword", "harmless", "placeholder", "goes_on", "number", "address"]
 
@@ -83,10 +83,12 @@ def features(before: Column, candidate: Column, behind: Column) -> list[Column]:
 
 
 def parts(text: Column) -> Column:
-    """The text cut at its candidates: elements 1, 3, 5, ... are candidates."""
-    clean = F.translate(text, OPEN + CLOSE, "  ")
-    marked = F.when(clean.rlike(HINT), F.regexp_replace(clean, CANDIDATE, f"$1{OPEN}$2$3$4{CLOSE}")).otherwise(clean)
-    return F.split(marked, f"[{OPEN}{CLOSE}]")
+    """The text cut at its candidates: elements 1, 3, 5, ... are candidates. Null if there can't
+    be any."""
+    marks = text.contains(OPEN) | text.contains(CLOSE)
+    clean = F.when(marks, F.translate(text, OPEN + CLOSE, "  ")).otherwise(text)
+    hint = reduce(lambda a, b: a | b, [text.contains(h) for h in HINTS]) | text.rlike("[0-9]")
+    return F.when(hint, F.split(F.regexp_replace(clean, CANDIDATE, f"$1{OPEN}$2$3$4{CLOSE}"), f"[{OPEN}{CLOSE}]"))
 
 
 def _tree(lines: list[tuple[int, str]], at: int, value) -> tuple[Column, int]:
