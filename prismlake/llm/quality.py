@@ -82,18 +82,22 @@ def log_count_ratio(rows: list[np.ndarray], good: np.ndarray, size: int) -> np.n
     return np.log(up / up.sum()) - np.log(down / down.sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, size: int, cost: float = 1.0, passes: int = 10, seed: int = 0) -> tuple[np.ndarray, float]:
-    """L2-regularised hinge loss; one dual variable in [0, cost] a row. Rows have length one
-    and a constant feature of one for the intercept, so the curvature of each is two."""
-    w, intercept, dual = np.zeros(size), 0.0, np.zeros(len(rows))
+def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, length: np.ndarray, sign: np.ndarray, cost: float = 1.0, passes: int = 10, seed: int = 0) -> tuple[np.ndarray, float]:
+    """L2-regularised hinge loss; one dual variable in [0, cost] a row.
+
+    Row i has the values ``scale[rows[i]] / length[i]``, so length one, and a constant feature of
+    one for the intercept: the curvature of each is two.
+    """
+    w, intercept, dual = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(len(rows)):
-            gradient = sign[i] * (w[rows[i]] @ values[i] + intercept) - 1
+            values = scale[rows[i]] / length[i]
+            gradient = sign[i] * (w[rows[i]] @ values + intercept) - 1
             new = min(max(dual[i] - gradient / 2, 0.0), cost)
             step = (new - dual[i]) * sign[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 intercept += step
                 dual[i] = new
     return w, intercept
@@ -124,8 +128,8 @@ def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS) -> Model:
 
     def train(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         ratio = log_count_ratio([rows[i] for i in index], good[index], size)
-        values = [ratio[rows[i]] / (np.linalg.norm(ratio[rows[i]]) or 1.0) for i in index]
-        w, intercept = dual_coordinate_descent([rows[i] for i in index], values, np.where(good[index], 1.0, -1.0), size)
+        length = np.array([np.linalg.norm(ratio[rows[i]]) or 1.0 for i in index])
+        w, intercept = dual_coordinate_descent([rows[i] for i in index], ratio, length, np.where(good[index], 1.0, -1.0))
         return w * ratio, ratio, intercept
 
     back = np.arange(len(rows)) % 5 == 0
@@ -159,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
     # ``sample`` rows of two numbers: broadcast
     texts = docs.join(F.broadcast(some), "doc_id").selectExpr("cast(doc_id as long) doc_id", "y", "text")
     got = texts.mapInArrow(features, "doc_id long, y int, places array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    return fit([np.asarray(p, np.int64) for p in got.column("places").to_pylist()], got.column("y").to_pylist(), bits)
+    places = got.column("places").combine_chunks()
+    ends = np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False)) if len(places) else np.zeros(0, np.int64)
+    return fit(np.split(places.flatten().to_numpy(), ends[:-1]) if len(places) else [], got.column("y").to_pylist(), bits)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
