@@ -144,31 +144,33 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
 
 def _best_fit(plan: Plan, count: np.ndarray, capacity: int) -> None:
     """Best fit, longest first, on classes of equally filled sequences."""
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # gap -> (lengths, times) classes
+    open_: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]  # by gap: (lengths, times) classes
+    has = np.zeros(capacity + 1, bool)
+
+    def put(gap: int, lengths: tuple[int, ...], times: int) -> None:
+        open_[gap].append((lengths, times))
+        has[gap] = True
+
     for n in np.flatnonzero(count)[::-1].tolist():
         todo = int(count[n])
-        for gap in sorted(g for g in open_ if g >= n):
-            classes = open_[gap]
-            while classes and todo:
-                lengths, times = classes.pop()
-                use = min(times, todo)
-                todo -= use
-                if use < times:
-                    classes.append((lengths, times - use))
-                open_.setdefault(gap - n, []).append(((*lengths, n), use))
-            if not classes:
-                del open_[gap]
-            if not todo:
-                break
+        while todo and has[n:].any():
+            gap = n + int(has[n:].argmax())  # the tightest
+            lengths, times = open_[gap].pop()
+            has[gap] = bool(open_[gap])
+            use = min(times, todo)
+            todo -= use
+            if use < times:
+                put(gap, lengths, times - use)
+            put(gap - n, (*lengths, n), use)
         while todo:  # new sequences, filled with as many of this length as fit
             per = capacity // n
             full, part = divmod(todo, per)
             if full:
-                open_.setdefault(capacity - per * n, []).append(((n,) * per, full))
+                put(capacity - per * n, (n,) * per, full)
             if part:
-                open_.setdefault(capacity - part * n, []).append(((n,) * part, 1))
+                put(capacity - part * n, (n,) * part, 1)
             todo = 0
-    for classes in open_.values():
+    for classes in open_:
         for lengths, times in classes:
             plan.add(lengths, times)
 
