@@ -39,6 +39,7 @@ from prismlake import runtime
 
 PLACES = 16
 SLICE = 1 << 20
+HELD_ROWS = 1 << 17
 
 KEY = ["k1", "k2"]
 RUNS = "k1 long, k2 long, at int, size int, anchor long, run long"
@@ -155,6 +156,17 @@ def _column(parts: list[np.ndarray], kind) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, kind)
 
 
+def _lists(column: pa.Array, fields: tuple[str, ...]) -> list[tuple[np.ndarray, ...] | None]:
+    """Each row's list of structs as arrays of the fields; None for null. Without Python objects
+    for the elements, of which a row may have very many."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    flat = column.flatten()
+    values = [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return [tuple(v[e - n : e] for v in values) if ok else None for n, e, ok in zip(sizes.tolist(), ends.tolist(), valid.tolist())]
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     """``docs`` as (doc_id, k1, k2, text).
 
@@ -172,13 +184,19 @@ def _rows(keyed: DataFrame, schema: str, threshold: int, make, runs: DataFrame |
     fields = [f.strip().split() for f in schema.split(",")]
     kinds = [{"long": pa.int64(), "int": pa.int32()}[kind] for _, kind in fields]
 
+    def rows(out):
+        return pa.RecordBatch.from_arrays([_column(x, k) for x, k in zip(out, kinds)], [name for name, _ in fields])
+
     def each(batches):
         for batch in batches:
             out: list[list] = [[] for _ in fields]
-            given = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for k1, k2, text, some in zip(*(batch.column(i).to_pylist() for i in range(3)), given):
+            held = 0
+            given = _lists(batch.column(3), ("at", "size", "n")) if batch.num_columns > 3 else [None] * batch.num_rows
+            for k1, k2, text, where in zip(*(batch.column(i).to_pylist() for i in range(3)), given):
                 data = np.frombuffer((text or "").encode(), np.uint8)
-                where = None if some is None else [np.array([r[k] for r in some], np.int64) for k in ("at", "size", "n")]
+                if held > HELD_ROWS:
+                    yield rows(out)
+                    out, held = [[] for _ in fields], 0
                 for low, high in _slices(len(data), threshold):
                     if high - low < threshold:
                         continue
@@ -190,9 +208,10 @@ def _rows(keyed: DataFrame, schema: str, threshold: int, make, runs: DataFrame |
                             continue
                         columns = make(Prints(data[low:high], threshold), where[0][here] - low, where[1][here], where[2][here])
                     m = len(columns[0])
+                    held += m
                     for into, x in zip(out, (np.full(m, k1), np.full(m, k2), columns[0] + low, *columns[1:])):
                         into.append(x)
-            yield pa.RecordBatch.from_arrays([_column(x, k) for x, k in zip(out, kinds)], [name for name, _ in fields])
+            yield rows(out)
 
     source = keyed.select(*KEY, "text")
     if runs is not None:
@@ -250,12 +269,12 @@ def repeated_spans(keyed: DataFrame, threshold: int) -> DataFrame:
     return found.groupBy(*KEY).agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
 
-def covered(spans: list[dict] | None, threshold: int) -> list[tuple[int, int]]:
-    """Maximal runs [begin, end) of bytes that repeated windows cover."""
-    if not spans:
+def covered(spans: tuple[np.ndarray, np.ndarray] | None, threshold: int) -> list[tuple[int, int]]:
+    """Maximal runs [begin, end) of bytes that the windows of ``spans`` (at, size) cover."""
+    if spans is None or not len(spans[0]):
         return []
-    begin = np.array([s["at"] for s in spans], np.int64)
-    end = begin + np.array([s["size"] for s in spans], np.int64) + threshold - 1
+    begin = spans[0]
+    end = begin + spans[1] + threshold - 1
     order = np.argsort(begin, kind="stable")
     begin, end = begin[order], np.maximum.accumulate(end[order])
     new = np.concatenate([[True], begin[1:] > end[:-1]])
@@ -274,7 +293,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
     def cut(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, found in zip(batch.column(1).to_pylist(), _lists(batch.column(2), ("at", "size"))):
                 data = (text or "").encode()
                 gone = covered(found, threshold)
                 at, kept = 0, []
@@ -308,8 +327,8 @@ def without_repeats(docs: DataFrame, threshold: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             texts = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist()):
-                if found:
+            for text, found in zip(batch.column(at).to_pylist(), _lists(batch.column(last), ("at", "size"))):
+                if found is not None:
                     data, here, kept = text.encode(), 0, []
                     for begin, end in covered(found, threshold):
                         kept.append(data[here:begin])
