@@ -66,12 +66,18 @@ def ship(spark: SparkSession) -> None:
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def few_files(spark: SparkSession, rows: int, per_file: int = 1_000_000) -> int:
+    """How many tasks should write ``rows`` rows: two for each core, more if files got large."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_file))
+
+
+def stage_table(df: DataFrame, name: str, codec: str = "snappy", files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Cuts the lineage with files that survive the loss of an executor, and keeps an
     expensive input from being computed once for each of its consumers. The shuffle files
-    behind the table are released as soon as it is written.
+    behind the table are released as soon as it is written. ``files``: at most so many tasks
+    write, each going through several partitions one after the other.
     """
     spark = df.sparkSession
     ship(spark)
@@ -79,7 +85,7 @@ def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        (df.coalesce(files) if files else df).write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
