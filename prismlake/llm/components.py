@@ -31,25 +31,31 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Each round maps a node to its least neighbour's least neighbour and contracts the edges; a
     star contracts in one round, a path in about log2 of its length. Minima combine on the map side, so a node
-    with very many edges is no single task's work. Every round is a stored table; only "are
-    edges left" comes to the driver. Edges with a null end and loops are ignored; repeated
+    with very many edges is no single task's work. Every round is a stored table; only the
+    number of edges left comes to the driver. Edges with a null end and loops are ignored; repeated
     edges don't matter; no edges give no rows.
     """
-    left = runtime.stage_table(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}-edges")
+    spark = edges.sparkSession
+
+    def stage(df: DataFrame, what: str, rows: int) -> DataFrame:
+        return runtime.stage_table(df, f"{name}-{what}", files=max(1, rows >> 18))
+
+    # counts of stored tables come from their footers
+    left = runtime.stage_table(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}-edges", files=runtime.few_files(spark, 0))
     known: DataFrame | None = None
-    while not left.isEmpty():
+    while size := left.count():
         both = left.select("a", "b").unionByName(left.selectExpr("b a", "a b"))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).selectExpr("node", "least(node, least) parent")
-        parent = runtime.stage_table(parent, f"{name}-parents")
+        parent = stage(parent, "parents", 2 * size)
         for _ in range(2):
             up = parent.selectExpr("node parent", "parent top")
             parent = parent.join(up, "parent").selectExpr("node", "top parent")
-        parent = runtime.stage_table(parent, f"{name}-tops")
+        parent = stage(parent, "tops", 2 * size)
         ends = left.join(parent.selectExpr("node a", "parent pa"), "a").join(parent.selectExpr("node b", "parent pb"), "b")
-        left = runtime.stage_table(ends.where("pa != pb").selectExpr("greatest(pa, pb) a", "least(pa, pb) b").distinct(), f"{name}-edges")
+        left = stage(ends.where("pa != pb").selectExpr("greatest(pa, pb) a", "least(pa, pb) b").distinct(), "edges", size)
         if known is None:
             known = parent.selectExpr("node", "parent component")
         else:
             step = parent.selectExpr("node component", "parent top")
-            known = runtime.stage_table(known.join(step, "component", "left").selectExpr("node", "coalesce(top, component) component"), f"{name}-known")
+            known = stage(known.join(step, "component", "left").selectExpr("node", "coalesce(top, component) component"), "known", known.count())
     return left.selectExpr("a node", "b component") if known is None else known

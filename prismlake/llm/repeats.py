@@ -40,6 +40,7 @@ from prismlake import runtime
 PLACES = 16
 SLICE = 1 << 20
 HELD_ROWS = 1 << 17
+TEXTS = 20_000  # texts that one task goes through
 
 KEY = ["k1", "k2"]
 RUNS = "k1 long, k2 long, at int, size int, anchor long, run long"
@@ -226,7 +227,7 @@ def _sift(rows: DataFrame, bucket: list[str], kind: str, name: str) -> DataFrame
     kinds = rows.groupBy(*bucket, kind).agg(F.sum("n").alias("total"))
     live = kinds.groupBy(*bucket).agg(F.count("*").alias("kinds"), F.sum("total").alias("members"), F.min("total").alias("least")).where("members > 1")
     marks = kinds.join(live, bucket).select(*bucket, kind, "total", F.expr("kinds > 1 and least = 1").alias("open")).where("total > 1 or open")
-    return runtime.stage_table(rows.join(marks, [*bucket, kind]), name)
+    return runtime.stage_table(rows.join(marks, [*bucket, kind]), name, files=runtime.few_files(rows.sparkSession, rows.count()))
 
 
 def _open(sifted: DataFrame, bucket: list[str], kind: str) -> DataFrame:
@@ -256,13 +257,15 @@ def repeated_spans(keyed: DataFrame, threshold: int) -> DataFrame:
         *columns, run = prints.windows(at, size)
         return *columns, n[run]
 
-    runs = runtime.stage_table(_rows(keyed, RUNS, threshold, all_runs), "suffix-runs")
+    # counts of stored tables come from their footers
+    files = runtime.few_files(keyed.sparkSession, keyed.count(), TEXTS)
+    runs = runtime.stage_table(_rows(keyed, RUNS, threshold, all_runs), "suffix-runs", files=files)
     first = _sift(runs.withColumn("n", F.lit(1)), ["anchor"], "run", "suffix-pass-1")
     runtime.drop_staged(runs)
-    blocks = runtime.stage_table(_rows(keyed, BLOCKS, threshold, cut_runs, _open(first, ["anchor"], "run")), "suffix-blocks")
+    blocks = runtime.stage_table(_rows(keyed, BLOCKS, threshold, cut_runs, _open(first, ["anchor"], "run")), "suffix-blocks", files=files)
     second = _sift(blocks, ["anchor", "block", "shared"], "bytes", "suffix-pass-2")
     runtime.drop_staged(blocks)
-    windows = runtime.stage_table(_rows(keyed, WINDOWS, threshold, suffixes, _open(second, ["anchor", "block", "shared"], "bytes")), "suffix-windows")
+    windows = runtime.stage_table(_rows(keyed, WINDOWS, threshold, suffixes, _open(second, ["anchor", "block", "shared"], "bytes")), "suffix-windows", files=files)
     third = _sift(windows.withColumn("size", F.lit(1)), ["anchor", "place"], "bytes", "suffix-pass-3")
     runtime.drop_staged(windows)
     found = _whole(first).unionByName(_whole(second)).unionByName(_whole(third))
@@ -307,7 +310,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
             cols = [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = keyed.join(spans, KEY, "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    joined = keyed.join(spans, KEY, "left").coalesce(runtime.few_files(docs.sparkSession, docs.count(), TEXTS)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -320,7 +323,7 @@ def without_repeats(docs: DataFrame, threshold: int) -> DataFrame:
     own = {"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_k2": F.xxhash64("text")}
     keyed = docs.withColumns(own)
     spans = repeated_spans(keyed.selectExpr("_k1 k1", "_k2 k2", "text"), threshold).selectExpr("k1 _k1", "k2 _k2", "spans _spans")
-    joined = keyed.join(spans, ["_k1", "_k2"], "left").select(*docs.columns, "_spans")
+    joined = keyed.join(spans, ["_k1", "_k2"], "left").select(*docs.columns, "_spans").coalesce(runtime.few_files(docs.sparkSession, docs.count(), TEXTS))
     names = docs.columns
     at, last = names.index("text"), len(names)
 

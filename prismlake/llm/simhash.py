@@ -250,14 +250,15 @@ def simhash_groups(docs: DataFrame, words: int = 3, budget: int = 2, bucket: int
 
     ``budget``: most differing bits of a link. ``bucket``: most classes in a part of a bucket.
     """
-    prints = runtime.stage_table(fingerprints(docs, words), "fingerprints")
-    classes = runtime.stage_table(prints.where("doc_id is not null").groupBy("f0").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
+    files = runtime.few_files(docs.sparkSession, docs.count(), 50_000)
+    prints = runtime.stage_table(fingerprints(docs, words), "fingerprints", files=files)
+    classes = runtime.stage_table(prints.where("doc_id is not null").groupBy("f0").agg(F.min("doc_id").alias("rep")), "fingerprint-classes", files=files)
     keys = [F.shiftrightunsigned("f0", shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in bands(64, budget + 1)]
 
     def links(cols, ranges):
         return trie_join(cols["f0"].view(np.uint64), ranges, budget)
 
-    edges = runtime.stage_table(bucket_links(dealt(classes.withColumn("_o", _unsigned("f0")), keys, bucket), ["_o"], links), "fingerprint-links")
+    edges = runtime.stage_table(bucket_links(dealt(classes.withColumn("_o", _unsigned("f0")), keys, bucket), ["_o"], links), "fingerprint-links", files=files)
     groups = components(edges, "fingerprint-groups")
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -268,11 +269,11 @@ def _unsigned(name: str):
     return F.col(name).bitwiseXOR(F.lit(-(1 << 63)))
 
 
-#: Of ``similar_groups``: longs of the fingerprint, longs that are compared, bands a long, bits a band.
-WIDE, COMPARED, BANDS, BAND_BITS = 8, 4, 4, 14
+#: Of ``similar_groups``: longs of the fingerprint, bands a long, bits a band.
+WIDE, BANDS, BAND_BITS = 8, 4, 14
 
 
-def most_differing(similarity: float, bits: int, deviations: float = 1.5) -> int:
+def most_differing(similarity: float, bits: int, deviations: float = 2.0) -> int:
     """Differing bits that sets of this Jaccard similarity stay within, at so many deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
@@ -282,20 +283,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, buc
     """doc_id, component_id for sets of word shingles with a Jaccard similarity of ``similarity``.
 
     A bit of a SimHash differs with a probability that is the angle between the two sets over pi,
-    so the differing bits of a wide fingerprint measure the similarity: 256 bits to about 0.03.
+    so the differing bits of a wide fingerprint measure the similarity: 512 bits to about 0.02.
     Links are pairs that agree in one of 32 bands of 14 bits and differ in no more bits than
     ``most_differing`` says. A pair of similarity 0.8 agrees in a band with 0.97, one of 0.9
     with 0.998. A band of 14 bits is right for up to some 10**8 texts; for more, widen it.
     """
-    prints = runtime.stage_table(fingerprints(docs.where("doc_id is not null"), words, WIDE), "wide-fingerprints")
+    files = runtime.few_files(docs.sparkSession, docs.count(), 50_000)
+    prints = runtime.stage_table(fingerprints(docs.where("doc_id is not null"), words, WIDE), "wide-fingerprints", files=files)
     longs = [f"f{k}" for k in range(WIDE)]
-    classes = runtime.stage_table(prints.groupBy(*longs).agg(F.min("doc_id").alias("rep")), "wide-classes")
+    classes = runtime.stage_table(prints.groupBy(*longs).agg(F.min("doc_id").alias("rep")), "wide-classes", files=files)
     keys = [F.shiftrightunsigned(f, BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for f in longs for k in range(BANDS)]
-    rows = dealt(classes, keys, bucket).select("rep", *longs[:COMPARED], "band", "value", "i", "j", "side").withColumn("_o", _unsigned("f0"))
-    all_bits, first_bits = most_differing(similarity, 64 * COMPARED), most_differing(similarity, 64, 4.0)
+    rows = dealt(classes, keys, bucket).select("rep", *longs, "band", "value", "i", "j", "side").withColumn("_o", _unsigned("f0"))
+    all_bits, first_bits = most_differing(similarity, 64 * WIDE), most_differing(similarity, 64, 4.0)
 
     def links(cols, ranges):
-        compared = [cols[f].view(np.uint64) for f in longs[:COMPARED]]
+        compared = [cols[f].view(np.uint64) for f in longs]
         for a, b in trie_join(compared[0], ranges, first_bits):
             apart = np.zeros(len(a), np.int64)
             for f in compared:
@@ -303,7 +305,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, buc
             near = apart <= all_bits
             yield a[near], b[near]
 
-    edges = runtime.stage_table(bucket_links(rows, ["_o"], links), "wide-links")
+    edges = runtime.stage_table(bucket_links(rows, ["_o"], links), "wide-links", files=files)
     groups = components(edges, "wide-groups")
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select(*longs, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, longs).select("doc_id", "component_id")
@@ -315,4 +317,4 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     Rows that share a doc_id are one document and stay or go together; rows without one stay.
     """
     gone = similar_groups(docs, words, similarity).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(runtime.stage_table(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(runtime.stage_table(gone, "near-copies", files=runtime.few_files(docs.sparkSession, docs.count())), "doc_id", "left_anti").select(*docs.columns)

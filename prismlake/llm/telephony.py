@@ -213,4 +213,4 @@ def media_digest(stored: DataFrame, to_rate: int = 16000) -> DataFrame:
 
 
 def text_media_digest(docs: DataFrame) -> DataFrame:
-    return media_digest(runtime.stage_table(text_media(docs), "media"))
+    return media_digest(runtime.stage_table(text_media(docs), "media", "zstd"))
