@@ -22,7 +22,7 @@ def duck():
 def rows(df, columns):
     def plain(x):
         if isinstance(x, float):
-            return round(x, 6) + 0.0
+            return round(float(x), 6) + 0.0
         return [plain(v) for v in x] if hasattr(x, "__len__") and not isinstance(x, str) else x
 
     return sorted(repr([plain(v.item() if hasattr(v, "item") and not hasattr(v, "__len__") else v) for v in r]) for r in df[columns].itertuples(index=False))
