@@ -17,6 +17,10 @@ EXTRACTORS: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {}
 ALIASES: dict[str, str] = {}
 
 
+#: Extractors that need a deep-learning library and weights; asked for, they fall back and say why.
+UNAVAILABLE = {name: "needs torch and pretrained weights" for name in ("dofa", "croma", "openclip", "remoteclip", "dinov2", "timm")}
+
+
 def register(name: str, *aliases: str):
     def add(factory):
         EXTRACTORS[name] = factory
@@ -36,8 +40,8 @@ def extractor(name: str, fallback: bool = True, **options) -> tuple[Callable[[Da
     if key in EXTRACTORS:
         return EXTRACTORS[key](**options), {"asked": name, "used": key, "fallback": False}
     if not fallback:
-        raise KeyError(f"no extractor {name!r}; there are {', '.join(sorted(EXTRACTORS))}")
-    return EXTRACTORS["statistics"](), {"asked": name, "used": "statistics", "fallback": True}
+        raise KeyError(f"{name!r} {UNAVAILABLE.get(key, 'is not known')}; there are {', '.join(sorted(EXTRACTORS))}")
+    return EXTRACTORS["statistics"](), {"asked": name, "used": "statistics", "fallback": True, "because": UNAVAILABLE.get(key, "not known")}
 
 
 @register("statistics", "fallback", "hashfeat", "offline", "numpy")
@@ -72,6 +76,12 @@ def ensemble(members: list[DataFrame], key: str = "id", weights: list[float] | N
     return out.select(key, concat_renorm([f"_e{i}" for i in range(len(members))], weights).alias("embedding"))
 
 
+def joint(df: DataFrame, a: str = "sar", b: str = "optical_rgb", weights: list[float] | None = None) -> DataFrame:
+    """location_id, embedding: one vector for each place that both modalities have seen."""
+    side = lambda m: df.where((F.col("modality") == m) & F.col("location_id").isNotNull()).groupBy("location_id").agg(F.min_by("embedding", "gallery_index").alias("embedding"))
+    return ensemble([side(a), side(b)], "location_id", weights)
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
     return 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.functions.vectors import DIGITS
+from prismlake.runtime import spread
 
 HITS = "query_id long, grp string, gallery_index long, score double"
 BROADCAST_BYTES = 64 << 20
@@ -107,7 +108,6 @@ def candidates(queries: DataFrame, gallery: DataFrame, k: int, by_modality: bool
     n, d = size["n"], size["d"] or 0
     # rows of the exclusion list go with the queries, so they count against the same bound
     pairs = 0 if excluded is None else excluded.count()
-    parallel = spark.sparkContext.defaultParallelism
     if n * (8 * d + 64) + 16 * pairs <= BROADCAST_BYTES:
         lists: dict[int, list[int]] = {}
         for r in excluded.toLocalIterator() if excluded is not None else ():
@@ -126,11 +126,11 @@ def candidates(queries: DataFrame, gallery: DataFrame, k: int, by_modality: bool
             if best is not None:
                 yield from best.batches(words)
 
-        return g.repartition(parallel).mapInArrow(score, HITS)
+        return spread(g).mapInArrow(score, HITS)
     if excluded is not None:
         raise ValueError("with so many queries give exclusions as id or location, or search in parts")
     blocks = max(1, -(-n // BLOCK_ROWS))
-    strips = max(parallel, spark.sparkContext.defaultParallelism)
+    strips = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
     right = g.withColumn("gb", F.pmod(F.xxhash64("gallery_index"), F.lit(strips)).cast("int")).withColumn("qb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
 

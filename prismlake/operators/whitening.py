@@ -26,6 +26,9 @@ def centre_by_modality(df: DataFrame, normalize: bool = True) -> DataFrame:
     return out.withColumn("embedding", l2_normalize("embedding")) if normalize else out
 
 
+MERGERS = 16
+
+
 class Whitener:
     """mean and matrix of each modality; a modality that was not seen is centred only."""
 
@@ -62,14 +65,26 @@ def moments(df: DataFrame, by_modality: bool = True) -> dict[str, tuple[int, np.
                 s[0] += len(part)
                 s[1] += part.sum(0)
                 s[2] += part.T @ part
+        yield from rows_of(sums)
+
+    def merge(batches):
+        sums: dict[str, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = sums.setdefault(r["modality"], [0, 0.0, 0.0])
+                s[0], s[1], s[2] = s[0] + r["n"], s[1] + np.array(r["s1"]), s[2] + np.array(r["s2"])
+        yield from rows_of(sums)
+
+    def rows_of(sums):
         for m, (n, s1, s2) in sums.items():
             yield pa.RecordBatch.from_pydict({"modality": [m], "n": pa.array([n], pa.int64()), "s1": [s1.tolist()], "s2": [s2.ravel().tolist()]})
 
+    schema = "modality string, n long, s1 array<double>, s2 array<double>"
     rows = df.where("embedding is not null").select(F.coalesce("modality", F.lit("")) if by_modality else F.lit(""), F.col("embedding").cast("array<double>"))
-    parts = rows.mapInArrow(add, "modality string, n long, s1 array<double>, s2 array<double>")
     # merged on executors first: what is collected is one row per modality and merging task
+    parts = rows.mapInArrow(add, schema).repartition(MERGERS).mapInArrow(merge, schema)
     out: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
-    for r in parts.coalesce(8).toLocalIterator():
+    for r in parts.toLocalIterator():
         n, s1, s2 = out.get(r["modality"], (0, 0.0, 0.0))
         out[r["modality"]] = (n + r["n"], s1 + np.array(r["s1"]), s2 + np.array(r["s2"]).reshape(len(r["s1"]), -1))
     return out

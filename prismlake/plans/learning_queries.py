@@ -62,3 +62,8 @@ def projected_headline(spark, sf):
     q, g = heads.project(q, model), heads.project(g, model)
     whitener = whitening.fit(g, shrinkage=0.1)
     return evaluation.evaluate(whitening.transform(q, whitener), whitening.transform(g, whitener), [5, 10])["headline"]
+
+
+@query(f"with {SAMPLES}, p as (select a.location_id, list_concat(a.u, b.u) as v from samples a join samples b on a.location_id = b.location_id where a.modality = 'sar' and b.modality = 'optical_rgb') select location_id, [round(x / sqrt(list_inner_product(v, v)), 6) for x in v] as embedding from p")
+def joint_embeddings(spark, sf):
+    return heads.joint(samples(spark, sf)).select("location_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))

@@ -101,6 +101,16 @@ def drop_staged(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` dealt over all cores if it is too small for its files to be; else as it is.
+
+    A table of many splits keeps every core busy without a shuffle of its rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split_bytes else df
+
+
 def bounded_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep an Arrow batch of long texts small; never raises a limit the session has set lower."""
     ship(spark)
