@@ -22,13 +22,17 @@ PATTERNS = {
 }
 
 #: Separators that Python's split() takes for white space and the tokenizers do not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 #: White space of Latin-1 besides the space itself.
 OTHER_WHITE = "\t\n\x0b\x0c\r\x85\xa0"
 
 
+def _separated(text: str) -> bool:
+    return any(c in text for c in SEPARATORS)
+
+
 class ChunkEncoder:
     """ids of whole texts through ``tokenizers``, memoised by chunk.
 
@@ -111,7 +115,7 @@ class ChunkEncoder:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return False
-        if SEPARATORS.search(text):
+        if _separated(text):
             return False
         if self.style == "dropped_space":
             return True
@@ -122,7 +126,7 @@ class ChunkEncoder:
         if not text:
             return b""
         if not self._plain(text):
-            return self._chunks(LEADING_SPACE.split(text) if self.lead or SEPARATORS.search(text) else text.split())
+            return self._chunks(LEADING_SPACE.split(text) if self.lead or _separated(text) else text.split())
         if self.style == "dropped_space":
             return self._words(text.lower().split())  # lower case as in the vocabulary's own normalizer
         head, *rest = text.split(" ")
