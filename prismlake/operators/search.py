@@ -22,6 +22,7 @@ from prismlake.runtime import spread
 HITS = "query_id long, grp string, gallery_index long, score double"
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
+QUERY_ROWS = 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -93,6 +94,12 @@ class _Best:
             )
 
 
+def _blocks(queries: pa.Table, words: dict, *options) -> list[_Best]:
+    """Queries in blocks, so that the scores of one block and one batch are what memory holds."""
+    side = _Side(queries.combine_chunks().to_batches()[0], "query_id", words)
+    return [_Best(side.take(np.arange(i, min(i + QUERY_ROWS, len(side.key)))), *options) for i in range(0, len(side.key), QUERY_ROWS)]
+
+
 def _columns(df: DataFrame, key: str) -> DataFrame:
     have = set(df.columns)
     null = F.lit(None).cast("string")
@@ -120,11 +127,12 @@ def candidates(queries: DataFrame, gallery: DataFrame, k: int, by_modality: bool
             best = None
             for batch in batches:
                 if batch.num_rows and table.num_rows:
-                    if best is None:
-                        best = _Best(_Side(table.combine_chunks().to_batches()[0], "query_id", words), k, by_modality, leave_one_out, same_location, lists)
-                    best.add(_Side(batch, "gallery_index", words))
-            if best is not None:
-                yield from best.batches(words)
+                    best = best or _blocks(table, words, k, by_modality, leave_one_out, same_location, lists)
+                    side = _Side(batch, "gallery_index", words)
+                    for b in best:
+                        b.add(side)
+            for b in best or ():
+                yield from b.batches(words)
 
         return spread(g).mapInArrow(score, HITS)
     if excluded is not None:
@@ -138,10 +146,12 @@ def candidates(queries: DataFrame, gallery: DataFrame, k: int, by_modality: bool
         words: dict = {}
         if not a.num_rows or not b.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "grp": pa.array([], pa.string()), "gallery_index": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        best = _Best(_Side(a.combine_chunks().to_batches()[0], "query_id", words), k, by_modality, leave_one_out, same_location, None)
+        best = _blocks(a, words, k, by_modality, leave_one_out, same_location, None)
         for batch in b.to_batches(max_chunksize=BLOCK_ROWS):
-            best.add(_Side(batch, "gallery_index", words))
-        return pa.Table.from_batches(list(best.batches(words)))
+            side = _Side(batch, "gallery_index", words)
+            for part in best:
+                part.add(side)
+        return pa.Table.from_batches([batch for part in best for batch in part.batches(words)])
 
     return left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInArrow(pair, HITS)
 

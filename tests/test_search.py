@@ -49,6 +49,7 @@ def test_grid_of_blocks_equals_broadcast(spark, monkeypatch):
     one = search.search(queries(g, 6), g, 5, leave_one_out=True).toPandas().sort_values(["query_id", "rank"]).values.tolist()
     monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(search, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(search, "QUERY_ROWS", 2)
     two = search.search(queries(g, 6), g, 5, leave_one_out=True).toPandas().sort_values(["query_id", "rank"]).values.tolist()
     assert one == two
 
