@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="prismlake-")
+        own = tempfile.mkdtemp(prefix="prismlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.conf.set(CHECKPOINT_CONF, named)
     return named.rstrip("/")
 
