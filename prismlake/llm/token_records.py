@@ -36,7 +36,7 @@ from prismlake.llm.crc32c import crc32c, masked
 HEAD = "<BBBxq"
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8")])
 MANIFEST = "part int, shard string, records long, tokens long"
-RECORDS = "part int, position long, doc_id long, n_tokens long, ids_crc32 long"
+RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 WRITE_BUFFER = 8 << 20
 
 
@@ -109,8 +109,17 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     return runtime.stage_table(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with ``start``: the ids of all shards before. One row per shard goes into it."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+
+
 def read_records(manifest: DataFrame, batch: int = 512) -> DataFrame:
-    """One row per record, from the files: place, doc_id, number and CRC-32 of its ids."""
+    """One row per record, read from the files: doc_id, start, n_tokens and the ids' CRC-32.
+
+    A shard is read in file order, so each start is that of its shard plus what has been read.
+    """
 
     def read(batches):
         for rows in batches:
@@ -118,38 +127,31 @@ def read_records(manifest: DataFrame, batch: int = 512) -> DataFrame:
                 fs, path = runtime.open_store(row["shard"])
                 with fs.open_input_stream(f"{path}.idx") as f:
                     index = np.frombuffer(f.read(), ENTRY)
+                start = row["start"]
                 with fs.open_input_file(f"{path}.rec") as f:
                     for i in range(0, len(index), batch):
                         some = index[i : i + batch].copy()
                         begin, last = int(some["offset"][0]), some[-1]
                         data = f.read_at(int(last["offset"]) + int(last["length"]) + 16 - begin, begin)
                         some["offset"] -= np.uint64(begin)
-                        out = {k: [] for k in ("part", "position", "doc_id", "n_tokens", "ids_crc32")}
-                        for k, payload in enumerate(unframe(data, some)):
+                        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32")}
+                        for payload in unframe(data, some):
                             _, width, has_id, doc_id = struct.unpack_from(HEAD, payload)
                             ids = np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(HEAD)).astype("<u4")
-                            for name, value in zip(out, (row["part"], i + k, doc_id if has_id else None, len(ids), zlib.crc32(ids.tobytes()))):
+                            for name, value in zip(out, (doc_id if has_id else None, start, len(ids), zlib.crc32(ids.tobytes()))):
                                 out[name].append(value)
-                        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "part" else pa.int64()) for k, v in out.items()})
+                            start += len(ids)
+                        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     # one shard each: a shard holds what one task wrote, so tasks stay even
-    shards = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shards = with_starts(manifest).repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return shards.mapInArrow(read, RECORDS)
 
 
 def token_records(docs: DataFrame, tokenizer: str, end_id: int = 0, style: str = "leading_space", folder: str | None = None) -> DataFrame:
     """Write ``docs`` as token records and read them back: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all records before this one in file order. The running sums
-    are taken twice: over the manifest (one row per shard) and within each shard.
+    ``start`` counts the ids of all records before this one in file order.
     """
     folder = folder or runtime.staging_path(docs.sparkSession, "token-records")
-    manifest = write_records(docs, folder, tokenizer, end_id, style)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("shard_start"))
-    inside = Window.partitionBy("part").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        read_records(manifest)
-        .join(starts, "part")
-        .select("doc_id", (F.col("shard_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
-    )
+    return read_records(write_records(docs, folder, tokenizer, end_id, style))
