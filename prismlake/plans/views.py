@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from prismlake.runtime import table
 from prismlake.sources.samples import derived_samples, is_query, prepare_gallery
