@@ -68,24 +68,28 @@ class ChunkEncoder:
         if len(words) + len(memo) + len(chunks) > self.limit:
             words.clear()
             memo.clear()
-        new, rest, composed = set(), set(), []
+        new, rest, composed = [], set(), []
+        seen = set()
         for c in chunks:
             if c.isalpha():
-                new.add(c)
+                new.append(c)
                 continue
-            if c[-1] in ".,!?:;" and c[:-1].isalpha():
-                head, tail = c[:-1], [c[-1]]
+            if c[-1] in ".,!?:;" and (head := c[:-1]).isalpha():
+                tail = (c[-1],)
             else:
                 head, *tail = self.pieces(lead + c)
                 head = head.removeprefix(lead)
-            if head == c:
-                new.add(c)
-                continue
+                if not tail:
+                    new.append(c)
+                    continue
             composed.append((c, head, tail))
-            if head not in words:
-                new.add(head)
-            rest.update([t for t in tail if t not in memo])
-        self._library(list(new), lead, words)
+            if head not in words and head not in chunks and head not in seen:
+                seen.add(head)
+                new.append(head)
+            for t in tail:
+                if t not in memo:
+                    rest.add(t)
+        self._library(new, lead, words)
         self._library(list(rest), "", memo)
         for c, head, tail in composed:
             words[c] = words[head] + b"".join([memo[t] for t in tail])

@@ -29,11 +29,11 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is its least node.
 
-    Each round maps a node to its least neighbour's least neighbour and contracts the edges; a
-    star contracts in one round, a path in about log2 of its length. Minima combine on the map side, so a node
-    with very many edges is no single task's work. Every round is a stored table; only the
-    number of edges left comes to the driver. Edges with a null end and loops are ignored; repeated
-    edges don't matter; no edges give no rows.
+    Each round maps a node to its least neighbour's least neighbour and contracts the edges: a
+    star contracts in one round, a path in about log2 of its length. Minima combine on the map
+    side, so a node with very many edges is no single task's work. Every round is a stored
+    table; only the number of edges left comes to the driver. Edges with a null end and loops are
+    ignored; repeated edges don't matter; no edges give no rows.
     """
     spark = edges.sparkSession
 

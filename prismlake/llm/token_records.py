@@ -38,6 +38,7 @@ ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8")])
 MANIFEST = "part int, shard string, records long, tokens long"
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 WRITE_BUFFER = 8 << 20
+MEMO_ENTRIES = 2_000_000  # of some 200 bytes, in each worker
 
 
 def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
@@ -79,7 +80,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         fs, path = runtime.open_store(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        enc, out, entries, pos, tokens = encoder(tokenizer, style), None, [], 0, 0
+        enc, out, entries, pos, tokens = encoder(tokenizer, style, MEMO_ENTRIES), None, [], 0, 0
         width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             payloads = []
