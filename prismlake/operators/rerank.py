@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.functions.vectors import DIGITS, cosine, l2_normalize
+from prismlake.functions.vectors import DIGITS, dot, l2_normalize
 from prismlake.operators.search import ranked, search
 
 METHODS = ("none", "exact", "kreciprocal")
@@ -16,8 +16,9 @@ METHODS = ("none", "exact", "kreciprocal")
 def exact_refine(queries: DataFrame, gallery: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The best k of ``candidates(query_id, gallery_index)`` by exact cosine."""
     pool = candidates.select("query_id", "gallery_index").where("gallery_index >= 0").distinct()
-    pairs = pool.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(gallery.select("gallery_index", F.col("embedding").alias("_g")), "gallery_index")
-    return ranked(pairs.select("query_id", "gallery_index", F.round(cosine("_q", "_g"), DIGITS).alias("score")), k, ["query_id"]).select("query_id", "gallery_index", "score", "rank")
+    unit = l2_normalize("embedding")  # once per row, not per pair
+    pairs = pool.join(queries.select("query_id", unit.alias("_q")), "query_id").join(gallery.select("gallery_index", unit.alias("_g")), "gallery_index")
+    return ranked(pairs.select("query_id", "gallery_index", F.round(dot("_q", "_g"), DIGITS).alias("score")), k, ["query_id"]).select("query_id", "gallery_index", "score", "rank")
 
 
 def alpha_expansion(queries: DataFrame, gallery: DataFrame, hits: DataFrame, alpha: float = 3.0, top: int = 5) -> DataFrame:
@@ -28,7 +29,7 @@ def alpha_expansion(queries: DataFrame, gallery: DataFrame, hits: DataFrame, alp
     unit = l2_normalize("embedding")
     q = queries.select("query_id", unit.alias("_q"))
     near = hits.where(F.col("rank") < top).join(gallery.select("gallery_index", unit.alias("_g")), "gallery_index").join(q, "query_id")
-    weight = F.pow(F.least(F.greatest(cosine("_q", "_g"), F.lit(0.0)), F.lit(1.0)), F.lit(float(alpha)))
+    weight = F.pow(F.least(F.greatest(dot("_q", "_g"), F.lit(0.0)), F.lit(1.0)), F.lit(float(alpha)))
     long = near.withColumn("_w", weight).select("query_id", "_w", F.posexplode("_g").alias("pos", "x")).groupBy("query_id", "pos").agg(F.sum(F.col("_w") * F.col("x")).alias("x"))
     added = long.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_add"))
     both = q.join(added, "query_id", "left")
