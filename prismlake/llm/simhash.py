@@ -181,10 +181,10 @@ def dealt(classes: DataFrame, keys: list, bucket: int) -> DataFrame:
     return rows.select(*classes.columns, "band", "value", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j"), (F.col("_p") > F.col("_q")).cast("int").alias("side"))
 
 
-def bucket_links(rows: DataFrame, order: list[str], links, at_once: int = 1 << 16) -> DataFrame:
+def bucket_links(rows: DataFrame, order: list[str], links, at_once: int = 1 << 16, every: bool = False) -> DataFrame:
     """Spanning forests (a, b) of the links that ``links(columns, ranges)`` finds in buckets.
 
-    Rows of a bucket meet in one task, sorted by ``order``; buckets, small by construction,
+    ``every``: all links instead, for links that are yet to be confirmed. Rows of a bucket meet in one task, sorted by ``order``; buckets, small by construction,
     are handled many at a time.
     """
     key = ["band", "value", "i", "j"]
@@ -216,6 +216,10 @@ def bucket_links(rows: DataFrame, order: list[str], links, at_once: int = 1 << 1
         mid = high - (ones[high] - ones[low])  # side 1 comes behind side 0
         two = cols["i"][low] != cols["j"][low]
         ranges = (low, np.where(two, mid, high), np.where(two, mid, low), high)
+        if every:
+            for a, b in links(cols, ranges):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(cols["rep"][a]), "b": pa.array(cols["rep"][b])})
+            return
         u, v = [], []
         reps, place = np.unique(cols["rep"], return_inverse=True)
         label = np.arange(len(reps))
@@ -269,46 +273,114 @@ def _unsigned(name: str):
     return F.col(name).bitwiseXOR(F.lit(-(1 << 63)))
 
 
-#: Of ``similar_groups``: longs of the fingerprint, bands a long, bits a band.
-WIDE, BANDS, BAND_BITS = 8, 4, 14
+#: Of ``similar_groups``: bands of a sketch, and minima a band.
+BANDS, ROWS = 32, 5
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def most_differing(similarity: float, bits: int, deviations: float = 2.0) -> int:
-    """Differing bits that sets of this Jaccard similarity stay within, at so many deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+def sketch(text: str | None, words: int = 5) -> tuple[bytes, int, np.ndarray]:
+    """128 bits that name the set of shingles, its size, and a key for each band of minima.
 
+    Two sets agree in one minimum with a probability that is their Jaccard similarity, however
+    few members they have.
+    """
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, set(_shingles(text, words))), np.uint64)
+    h.sort()
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1 << 10):
+        low = np.minimum(low, (h[None, at : at + (1 << 10)] * _MIX[0, :, None] + _MIX[1, :, None]).min(axis=1))
+    keys = (low ^ low >> np.uint64(32)) * _MIX[2]
+    return xxhash.xxh3_128_digest(h.tobytes()), len(h), (keys ^ keys >> np.uint64(29)).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = 2048) -> DataFrame:
-    """doc_id, component_id for sets of word shingles with a Jaccard similarity of ``similarity``.
 
-    A bit of a SimHash differs with a probability that is the angle between the two sets over pi,
-    so the differing bits of a wide fingerprint measure the similarity: 512 bits to about 0.02.
-    Links are pairs that agree in one of 32 bands of 14 bits and differ in no more bits than
-    ``most_differing`` says. A pair of similarity 0.8 agrees in a band with 0.97, one of 0.9
-    with 0.998. A band of 14 bits is right for up to some 10**8 texts; for more, widen it.
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, c0, c1, n, k0, k1, ...): see ``sketch``."""
+    runtime.bounded_arrow_batches(docs.sparkSession)
+    names = ["c0", "c1", "n", *[f"k{b}" for b in range(BANDS)]]
+
+    def run(batches):
+        for batch in batches:
+            values = np.empty((batch.num_rows, len(names)), np.int64)
+            for row, text in zip(values, batch.column(1).to_pylist()):
+                name, row[2], keys = sketch(text, words)
+                row[:2], row[3:] = np.frombuffer(name, np.int64), keys.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(v)) for v in values.T]], ["doc_id", *names])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def met(rows: DataFrame, similarity: float, first: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of ``rows(rep, label, n, ...)`` that share a bucket and may be similar.
+
+    Pairs of one label and pairs whose sizes rule the similarity out aren't. ``first``: only
+    pairs with the first member of a bucket's part.
     """
-    files = runtime.few_files(docs.sparkSession, docs.count(), 50_000)
-    prints = runtime.stage_table(fingerprints(docs.where("doc_id is not null"), words, WIDE), "wide-fingerprints", files=files)
-    longs = [f"f{k}" for k in range(WIDE)]
-    classes = runtime.stage_table(prints.groupBy(*longs).agg(F.min("doc_id").alias("rep")), "wide-classes", files=files)
-    keys = [F.shiftrightunsigned(f, BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for f in longs for k in range(BANDS)]
-    rows = dealt(classes, keys, bucket).select("rep", *longs, "band", "value", "i", "j", "side").withColumn("_o", _unsigned("f0"))
-    all_bits, first_bits = most_differing(similarity, 64 * WIDE), most_differing(similarity, 64, 4.0)
 
-    def links(cols, ranges):
-        compared = [cols[f].view(np.uint64) for f in longs]
-        for a, b in trie_join(compared[0], ranges, first_bits):
-            apart = np.zeros(len(a), np.int64)
-            for f in compared:
-                apart += np.bitwise_count(f[a] ^ f[b])
-            near = apart <= all_bits
-            yield a[near], b[near]
-
-    edges = runtime.stage_table(bucket_links(rows, ["_o"], links), "wide-links", files=files)
-    groups = components(edges, "wide-groups")
-    named = classes.join(groups, classes["rep"] == groups["node"], "left").select(*longs, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, longs).select("doc_id", "component_id")
+    def links(cols, ranges, frontier: int = 1 << 20):
+        al, ah, bl, bh = ranges
+        own = al == bl
+        width = bh - bl
+        size = (1 if first else ah - al) * width
+        for some in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // frontier)) + 1):
+            at = np.repeat(some, size[some])
+            k = np.arange(len(at)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+            i, j = al[at] + k // width[at], bl[at] + k % width[at]
+            on = (~own[at] | (i < j)) & (cols["label"][i] != cols["label"][j])
+            i, j = i[on], j[on]
+            n, m = cols["n"][i], cols["n"][j]
+            near = np.minimum(n, m) / np.maximum(n, m) >= similarity
+            yield i[near], j[near]
+
+    pairs = bucket_links(rows, ["rep"], links, every=True)
+    return pairs.selectExpr("greatest(a, b) a", "least(a, b) b").where("a != b").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets of shingles have the Jaccard similarity, by the texts."""
+    ids = pairs.selectExpr("a doc_id").union(pairs.selectExpr("b doc_id")).distinct()
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(ids, "doc_id", "left_semi").repartition("doc_id").distinct()
+    both = pairs.join(texts.selectExpr("doc_id a", "text s"), "a").join(texts.selectExpr("doc_id b", "text t"), "b").select("a", "b", "s", "t")
+
+    def run(batches):
+        for batch in batches:
+            on = []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = set(_shingles(s, words)), set(_shingles(t, words))
+                both = len(x & y)
+                on.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = 1024) -> DataFrame:
+    """doc_id, component_id for sets of word shingles with a Jaccard similarity of ``similarity``.
+
+    Equal sets form one class. Candidates are classes that agree in one of 32 bands of 5 minima
+    of their sets (MinHash); a link is a candidate whose sets, taken from the texts again, have
+    the similarity, so that no pair below it is linked. A pair of similarity 0.8 is no candidate
+    with a probability of 3e-6, at any length. A majority of bits would not do: of few shingles
+    it says little. Candidates with the first member of each bucket are confirmed before all
+    others, and those in one component already are not looked at again.
+    """
+    spark = docs.sparkSession
+    files = runtime.few_files(spark, docs.count(), 50_000)
+    prints = runtime.stage_table(sketches(docs.where("doc_id is not null"), words), "sketches", files=files)
+    keys = [f"k{b}" for b in range(BANDS)]
+    classes = runtime.stage_table(prints.groupBy("c0", "c1", "n", *keys).agg(F.min("doc_id").alias("rep")), "sketch-classes", files=files)
+    rows = dealt(classes.where("n > 0"), [F.col(k) for k in keys], bucket).select("rep", "n", "band", "value", "i", "j", "side")
+    rows = runtime.stage_table(rows, "sketch-buckets", files=files)
+
+    tried = runtime.stage_table(met(rows.withColumn("label", F.col("rep")), similarity, first=True), "first-candidates", files=files)
+    edges = runtime.stage_table(confirmed(tried, docs, words, similarity), "first-links", files=files)
+    groups = components(edges, "first-groups").selectExpr("node rep", "component")
+    labelled = rows.join(groups, "rep", "left").select(*rows.columns, F.coalesce("component", "rep").alias("label"))
+    others = runtime.stage_table(met(labelled, similarity).join(tried, ["a", "b"], "left_anti"), "candidates", files=files)
+    edges = edges.union(runtime.stage_table(confirmed(others, docs, words, similarity), "links", files=files))
+
+    groups = components(edges, "similar-groups")
+    named = classes.join(groups, classes["rep"] == groups["node"], "left").select("c0", "c1", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, ["c0", "c1"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -122,6 +122,24 @@ def test_similar_groups_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1024, 3])
+def test_similar_groups_are_those_of_exact_jaccard(spark, bucket):
+    r = random.Random(8)
+    rows, sets = [], []
+    for n in [8, 9, 10, 11, 13, 14, 24, 44, 104, 204] * 8:
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        for more in (0, (n - 4) // 4, (n - 4) // 4 + 1):  # at the limit or above it, and below it
+            rows.append((len(rows), " ".join(base + [f"w{r.randrange(10**6)}" for _ in range(more)])))
+        rows.append((len(rows), " ".join(base[: n // 2] + ["changed"] + base[n // 2 :])))
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    edges = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 80 <= len(edges) < 3 * 80
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert {g["doc_id"]: g["component_id"] for g in simhash.similar_groups(df, bucket=bucket).collect()} == least(edges, range(len(rows)))
+
+
 def brute_repeats(texts, threshold):
     from collections import Counter
 
