@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismlake.operators import search as exact_search
 from prismlake.operators.rerank import exact_refine
 
 
@@ -57,6 +58,26 @@ def search(queries: DataFrame, index: CellIndex, k: int, probes: int = 8, pool:
     return exact_refine(queries, index.gallery, met, k)
 
 
+def enough_probes(queries: DataFrame, index: CellIndex, k: int, least: int = 8, wanted: float = 0.95, sample: int = 256) -> int:
+    """Fewest probes, ``least`` or more, that find ``wanted`` of the exact hits of some queries.
+
+    Measured by an exact search for at most ``sample`` queries (the least hashes). Vectors
+    without structure need nearly every cell.
+    """
+    some = queries.where("embedding is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(sample).select("query_id", "embedding")
+    hits = exact_search.search(some, index.gallery, k).join(index.gallery.select("gallery_index", "cell_id"), "gallery_index").groupBy("query_id").agg(F.collect_list("cell_id").alias("cells"))
+    c = index.centroids
+    places = [np.zeros(0, np.int64)]
+    for r in some.join(hits, "query_id").select("embedding", "cells").collect():
+        place = np.empty(len(c), np.int64)
+        place[np.argsort((c * c).sum(1) - 2 * c @ np.array(r["embedding"], float), kind="stable")] = np.arange(len(c))
+        places.append(place[r["cells"]])
+    met = np.bincount(np.concatenate(places), minlength=len(c)).cumsum()
+    if not met[-1]:
+        return len(c)
+    return min(max(least, int(np.argmax(met >= wanted * met[-1])) + 1), len(c))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found."""
     hit = found.select("query_id", "gallery_index").withColumn("_f", F.lit(1.0))

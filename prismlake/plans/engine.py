@@ -22,6 +22,7 @@ class Engine:
         self.gallery: DataFrame | None = None
         self.strategy: dict = {}
         self._cells: ann.CellIndex | None = None
+        self._probes: dict[int, int] = {}
 
     def encode(self, samples: DataFrame, whiten: bool = True) -> DataFrame:
         """Samples with unit embeddings: extractor, head, then whitener."""
@@ -41,6 +42,7 @@ class Engine:
         size = self.gallery.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
         self.strategy = choose_strategy(size["n"], size["d"] or 0, self.config.search.strategy)
         if self.strategy["method"] == "ivf":
+            self._probes = {}
             self._cells = ann.build(self.gallery, min(self.strategy["cells"], max(1, size["n"] // 32)))
 
     def query(self, queries: DataFrame, k: int, encoded: bool = False, method: str | None = None, **filters) -> DataFrame:
@@ -50,7 +52,9 @@ class Engine:
         q = queries if encoded else self.encode(queries)
         method = method or self.config.search.rerank
         if self._cells is not None and method == "none" and not filters:
-            hits = ann.search(q, self._cells, k, self.config.search.probes)
+            if k not in self._probes:  # measured by the first queries
+                self._probes[k] = ann.enough_probes(q, self._cells, k, self.config.search.probes)
+            hits = ann.search(q, self._cells, k, self._probes[k])
         else:
             hits = rerank.search_with_rerank(q, self.gallery, k, self.config.search.pool, method, **filters)
         return with_hit_columns(hits, self.gallery)

@@ -348,7 +348,8 @@ def search_and_rerank(spark, sf):
 @query()
 def ivf_search(spark, sf):
     q, g = split(spark, sf)
-    return ann.search(q, ann.build(g, cells=16), K, probes=8)
+    index = ann.build(g, cells=16)
+    return ann.search(q, index, K, ann.enough_probes(q, index, K, least=8))
 
 
 @query(f"with {SPLIT}, {scored()}, {top(K)}, other as (select *, row_number() over (partition by query_id order by gallery_index) - 1 as r2 from hits) select query_id, gallery_index, round(1.0 / (60 + rank) + 1.0 / (60 + r2), 9) as fused from other")

@@ -149,6 +149,24 @@ def test_cells_with_every_probe_are_exact(spark):
     assert ann.recall(got, exact).first()["recall"] == 1.0
 
 
+def test_recall_of_cells_as_registered(spark):
+    from prismlake.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    assert ann.recall(registry.QUERIES["ivf_search"](spark, sf), registry.QUERIES["topk_cosine"](spark, sf)).first()["recall"] >= 0.9
+
+
+def test_recall_of_the_engines_cells(spark):
+    from prismlake.plans.engine import Engine
+    from prismlake.sources import store
+
+    g = gallery(spark, unit(1500, 32, 11)).localCheckpoint()
+    engine = Engine(spark, store.Config())
+    engine.gallery, engine._cells = g, ann.build(g, cells=1500 // 32)
+    q = queries(g, 100)
+    assert ann.recall(engine.query(q, 10, encoded=True, method="none"), search.search(q, g, 10)).first()["recall"] >= 0.9
+
+
 def plain_reciprocal(q, pool, k1, k2, lam):
     """k-reciprocal re-ranking, restated with sets."""
     x = np.concatenate([q[None], pool])
