@@ -135,18 +135,28 @@ def candidates(queries: DataFrame, gallery: DataFrame, k: int, by_modality: bool
                 yield from b.batches(words)
 
         return spread(g).mapInArrow(score, HITS)
-    if excluded is not None:
-        raise ValueError("with so many queries give exclusions as id or location, or search in parts")
     blocks = max(1, -(-n // BLOCK_ROWS))
     strips = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    if excluded is not None:  # an excluded pair is a row of the one block pair it belongs to
+        where = excluded.select(F.col("query_id").cast("long").alias("query_id"), F.col("gallery_index").cast("long").alias("not")).where("query_id is not null and `not` is not null")
+        where = where.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("gb", F.pmod(F.xxhash64("not"), F.lit(strips)).cast("int"))
+        left = left.unionByName(where, allowMissingColumns=True)
     right = g.withColumn("gb", F.pmod(F.xxhash64("gallery_index"), F.lit(strips)).cast("int")).withColumn("qb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
 
+    excluded_too = excluded is not None
+
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         words: dict = {}
+        lists: dict[int, list[int]] = {}
+        if excluded_too:
+            pairs = a.filter(a["not"].is_valid())
+            for query, row in zip(pairs["query_id"].to_pylist(), pairs["not"].to_pylist()):
+                lists.setdefault(query, []).append(row)
+            a = a.filter(a["not"].is_null())
         if not a.num_rows or not b.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "grp": pa.array([], pa.string()), "gallery_index": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        best = _blocks(a, words, k, by_modality, leave_one_out, same_location, None)
+        best = _blocks(a, words, k, by_modality, leave_one_out, same_location, lists)
         for batch in b.to_batches(max_chunksize=BLOCK_ROWS):
             side = _Side(batch, "gallery_index", words)
             for part in best:

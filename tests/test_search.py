@@ -167,6 +167,16 @@ def test_recall_of_the_engines_cells(spark):
     assert ann.recall(engine.query(q, 10, encoded=True, method="none"), search.search(q, g, 10)).first()["recall"] >= 0.9
 
 
+def test_exclusions_in_the_grid(spark, monkeypatch):
+    g = gallery(spark, unit(90, 8, 13))
+    q = queries(g, 30)
+    pairs = q.select("query_id").join(g.select("gallery_index"), F.expr("(query_id + gallery_index) % 3 = 0"))
+    want = sorted(search.search(q, g, 40, excluded=pairs).collect())
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 7)
+    assert sorted(search.search(q, g, 40, excluded=pairs).collect()) == want
+
+
 def plain_reciprocal(q, pool, k1, k2, lam):
     """k-reciprocal re-ranking, restated with sets."""
     x = np.concatenate([q[None], pool])
