@@ -9,7 +9,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -31,11 +33,15 @@ def build_session(app: str = "prismlake", cpus: int | str = "*", shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the session has no ``spark.checkpoint.dir`` (tests, local mode) is a
-    temporary folder of this machine chosen and recorded in the session.
+    Only where a local session has no ``spark.checkpoint.dir`` (tests) is a temporary folder of
+    this machine chosen and recorded in the session. On a cluster that is an error: every
+    executor would write to its own disk.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors of {master} share")
         own = tempfile.mkdtemp(prefix="prismlake-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = "file://" + own
@@ -75,6 +81,36 @@ def few_files(spark: SparkSession, rows: int, per_file: int = 1_000_000) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_file))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has, in upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_in_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``mapInArrow`` for any names of columns: inside, columns go by position, named c0, c1, ..."""
+    plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
+
+
+def text_files(docs: DataFrame, split_bytes: int = 16 << 20) -> int:
+    """How many tasks should go through whole texts: two for each core, more by the bytes of the
+    table, so that no task grows with it."""
+    spark = docs.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(2 * spark.sparkContext.defaultParallelism, min(-(-size // split_bytes), 1 << 20))
+
+
 def stage_table(df: DataFrame, name: str, codec: str = "snappy", files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
