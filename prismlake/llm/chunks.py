@@ -2,7 +2,8 @@
 
 A text is cut only at places where the tokenizer's own pre-tokenizer must cut too, so the
 ids of the chunks, joined, are the ids of the text. Chunks repeat far more often than texts
-do; a bounded memo keeps their ids as bytes.
+do; a bounded memo keeps their ids as bytes. A text that holds the content of one of the
+vocabulary's added tokens goes through the library as a whole.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.style, self.limit = style, memo_entries
         self.lead = " " if style == "leading_space" else ""
         self.pieces = regex.compile(PATTERNS[style]).findall
@@ -129,6 +130,8 @@ class ChunkEncoder:
         """The ids as little-endian unsigned 32-bit integers; null is the empty text."""
         if not text:
             return b""
+        if any(a in text for a in self.added):  # the library cuts at these before all else
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         if not self._plain(text):
             return self._chunks(LEADING_SPACE.split(text) if self.lead or _separated(text) else text.split())
         if self.style == "dropped_space":
