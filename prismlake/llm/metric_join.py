@@ -17,7 +17,8 @@ replicated to half of the cells; the join is then all pairs, in blocks.
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and are their own component. Vectors of different length never link. A null vec_id
-takes part but can't name a component. Repeated rows of one vec_id count as vectors of their
+takes part but can't name a component; a component of such rows only has a null id. Vectors of
+doubles are compared as doubles. Repeated rows of one vec_id count as vectors of their
 own in n_links. An empty table gives an empty result. Further columns aren't read.
 """
 
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from prismlake import runtime
 from prismlake.llm.components import components, forest
 
-DEALT = "cell int, part int, side int, rep long, m long, v array<float>"
+DEALT = "cell int, part int, side int, rep long, m long, v array<{}>"
 
 
 def _unit(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """Vectors of length one, in doubles whatever the type of the column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
     x /= np.abs(x).max(axis=1, keepdims=True)  # against overflow in the squares
@@ -111,7 +113,8 @@ def _deal(classes: DataFrame, size: int, pivots: np.ndarray, reach: float, part_
                 }
             )
 
-    return classes.select("rep", "m", "v").mapInArrow(deal, DEALT)
+    kind = classes.schema["v"].dataType.elementType.simpleString()
+    return classes.select("rep", "m", "v").mapInArrow(deal, DEALT.format(kind))
 
 
 def _links(dealt: DataFrame, size: int, least: float) -> DataFrame:
@@ -209,16 +212,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, pivots: int = 32, sampl
     """
     spark = vectors.sparkSession
     runtime.bounded_arrow_batches(spark, 4096)
-    v = F.col("embedding").cast("array<float>")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    v = F.col("embedding") if single else F.col("embedding").cast("array<double>")
     whole = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf))) & F.exists(v, lambda c: c != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(whole, v).alias("v"))
-    sizes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    classes = runtime.stage_table(sizes.where("rep is not null"), "vector-classes")
+    sizes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    # numbers that are fixed once the table is stored; a class whose ids are all null needs one, too
+    classes = runtime.stage_table(sizes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     found = []
     # one join for each length of vector that occurs; a table of embeddings has one
     for size in sorted(r["n"] for r in classes.select(F.size("v").alias("n")).distinct().collect()):
         of_size = classes.where(F.size("v") == size)
-        some = of_size.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toArrow().column("v")
+        some = of_size.orderBy(F.xxhash64("v"), "least").limit(sample).select("v").toArrow().column("v")
         chosen = spread_pivots(_unit(some, size), pivots)
         found.append(_links(_deal(of_size, size, chosen, math.acos(least), part_size), size, least))
     if not found:
@@ -229,8 +234,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, pivots: int = 32, sampl
     links = runtime.stage_table(links, "vector-links")
     counts = links.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     groups = components(links.where("kind = 1").select("a", "b"), "vector-groups")
-    known = classes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("v", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    known = classes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("v", "least", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    names = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(names, "component").select("v", "n_links", "component_id", F.lit(True).alias("linked"))
+    out = rows.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
