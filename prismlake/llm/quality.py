@@ -11,7 +11,7 @@ documented bound: they and the model go through the driver). A model is one arra
 
 Nulls: a null text is the empty text, which has no n-grams and so the score of the intercept;
 labels that are null are not learned from; a null doc_id is never held out. Repeated rows each
-get a score. With labels of one class only, every score is that class's share (0 or 1); with
+get a score; a repeated label counts once, and of rows that share a doc_id one is learned from. With labels of one class only, every score is that class's share (0 or 1); with
 none at all, 0.5. Columns besides doc_id and text are never read.
 """
 
@@ -153,15 +153,16 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
     runtime.bounded_arrow_batches(docs.sparkSession)
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
     # the least hashes: an even sample that no order of the rows changes
-    some = known.select("doc_id", F.col(target).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    some = known.select("doc_id", F.col(target).cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
 
     def features(batches):
         for batch in batches:
             rows = [indicators(t, bits).astype(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "places": pa.array(rows, pa.list_(pa.int32()))})
 
-    # ``sample`` rows of two numbers: broadcast
-    texts = docs.join(F.broadcast(some), "doc_id").selectExpr("cast(doc_id as long) doc_id", "y", "text")
+    # ``sample`` rows of two numbers: broadcast. One text for each, however many rows have the id
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = met.selectExpr("cast(doc_id as long) doc_id", "y", "text")
     got = texts.mapInArrow(features, "doc_id long, y int, places array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     places = got.column("places").combine_chunks()
     ends = np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False)) if len(places) else np.zeros(0, np.int64)
@@ -201,4 +202,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array([m.score(indicators(t, bits, seen)) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return runtime.map_in_arrow(docs, run, docs.schema)
