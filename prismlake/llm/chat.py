@@ -99,14 +99,19 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
 
 
 def read_chats(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """Add ``read``, the turns (role, text) found in the formatted text, and ``loss_text``."""
+    """Add ``read``, the turns (role, text) found in the formatted text, and ``loss_text``.
+
+    Both come from ``segments``: the turns from their texts joined, which is the formatted text,
+    and the loss from the texts under their flags.
+    """
     template = template or Template()
     before, behind, _ = template.generic
     quote = lambda s: "".join("\\" + c if not c.isalnum() else c for c in s)
     opens = "|".join([*(quote(m[0]) for m in template.roles.values()), quote(before) + r"[^<\[|]*" + quote(behind)])
     pattern = F.lit(rf"({opens})([^<\[|]*)")
-    marks = F.regexp_extract_all("formatted", pattern, F.lit(1))
-    texts = F.regexp_extract_all("formatted", pattern, F.lit(2))
+    whole = F.array_join(F.transform("segments", lambda s: s["text"]), "")
+    marks = F.regexp_extract_all(whole, pattern, F.lit(1))
+    texts = F.regexp_extract_all(whole, pattern, F.lit(2))
 
     def turn(mark: Column, text: Column) -> Column:
         role = unescape(F.substring(mark, F.lit(len(before) + 1), F.length(mark) - len(before) - len(behind)), template)
