@@ -103,7 +103,7 @@ def map_in_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
 
 
-def text_files(docs: DataFrame, split_bytes: int = 16 << 20) -> int:
+def text_files(docs: DataFrame, split_bytes: int = 8 << 20) -> int:
     """How many tasks should go through whole texts: two for each core, more by the bytes of the
     table, so that no task grows with it."""
     spark = docs.sparkSession
