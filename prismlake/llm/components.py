@@ -41,7 +41,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return runtime.stage_table(df, f"{name}-{what}", files=max(1, rows >> 18))
 
     # counts of stored tables come from their footers
-    left = runtime.stage_table(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}-edges", files=runtime.few_files(spark, 0))
+    left = runtime.stage_table(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}-edges", files=runtime.few_files(spark, edges.count()))
     known: DataFrame | None = None
     while size := left.count():
         both = left.select("a", "b").unionByName(left.selectExpr("b a", "a b"))
