@@ -15,15 +15,18 @@ goes most significant digit first, and a suffix that is alone in its bucket leav
 3. Third pass, in buckets of the second that hold several kinds of block: each suffix by
    itself, with all ``threshold`` bytes.
 
-A digit is a 64-bit fingerprint of its bytes, made by doubling (the fingerprint of 2n bytes
-mixes those of its halves); suffixes are compared within one bucket of the earlier digits
-only, so that a false match needs two 64-bit collisions at one place. Buckets are counted
-with map-side combining and joined by sort-merge join, whose skewed partitions Spark splits;
-no bucket is ever collected in one task.
+The digits that deal suffixes to buckets are 64-bit fingerprints of their bytes, made by
+doubling (the fingerprint of 2n bytes mixes those of its halves). They only narrow the search:
+a collision puts strangers in one bucket. The digit that decides what is equal is a 128-bit
+BLAKE2 digest of all the bytes themselves, together with their place before the anchor, so that
+a group holds equal windows whatever the fingerprints do (a test uses fingerprints of three
+bits). Buckets are counted with map-side combining and joined by sort-merge join, whose skewed
+partitions Spark splits; no bucket is ever collected in one task.
 
 Texts are UTF-8 bytes; null and short texts have no window and come back whole. Repeated rows
 repeat each other. Very long texts are handled in slices that overlap by a window. An empty
-table gives an empty result. Columns besides doc_id and text are not read.
+table gives an empty result. ``remove_repeats`` reads no columns besides doc_id and text;
+``without_repeats`` carries all others, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,12 +43,13 @@ from prismlake import runtime
 PLACES = 16
 SLICE = 1 << 20
 HELD_ROWS = 1 << 17
-TEXTS = 20_000  # texts that one task goes through
 
 KEY = ["k1", "k2"]
-RUNS = "k1 long, k2 long, at int, size int, anchor long, run long"
-BLOCKS = "k1 long, k2 long, at int, size int, anchor long, block int, shared long, bytes long, n long"
-WINDOWS = "k1 long, k2 long, at int, anchor long, place int, bytes long, n long"
+RUNS = "k1 long, k2 long, at int, size int, anchor long, place int, high long, low long"
+BLOCKS = "k1 long, k2 long, at int, size int, anchor long, block int, shared long, place int, high long, low long, n long"
+WINDOWS = "k1 long, k2 long, at int, anchor long, place int, high long, low long, n long"
+#: What tells the members of a bucket apart: the place before the anchor and the digest.
+KIND = ["place", "high", "low"]
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _S = np.uint64(32)
@@ -104,29 +108,35 @@ class Prints:
     def __init__(self, data: np.ndarray, threshold: int):
         size, self.step = sizes(threshold)
         h = doubled(data, (size, self.step))
-        self.anchor, self.block, self.threshold = h[size], h[self.step], threshold
+        self.data, self.anchor, self.block, self.threshold = data, h[size], h[self.step], threshold
         self.owner = _leftmost_minimum(self.anchor, threshold - size + 1)
 
-    def span(self, at: np.ndarray, length: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        """Of ``length`` (a block at least) bytes from ``at``: blocks that cover every byte."""
+    def span(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Fingerprints of ``length`` (a block at least) bytes from ``at``: blocks that cover every byte."""
         block, step = self.block, self.step
-        out = _mix(block[at], (length * 65536 + salt).astype(np.uint64))
-        for k in range(step, int(length.max(initial=0)), step):
-            on = length > k
-            out[on] = _mix(out[on], block[at[on] + np.minimum(k, length[on] - step)])
+        out = _mix(block[at], np.full(len(at), length, np.uint64))
+        for k in range(step, length, step):
+            out = _mix(out, block[at + min(k, length - step)])
         return out
 
+    def digests(self, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two longs that stand for the ``length`` bytes from ``at``."""
+        view = memoryview(self.data)
+        raw = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), (at + length).tolist())])
+        x = np.frombuffer(raw, np.int64).reshape(-1, 2)
+        return x[:, 0], x[:, 1]
+
     def runs(self) -> tuple[np.ndarray, ...]:
-        """(first start, number of starts, first digit, second digit) of all runs."""
+        """(first start, number of starts, first digit, place, digest) of all runs."""
         first = np.concatenate([[0], np.flatnonzero(np.diff(self.owner)) + 1])
         size = np.diff(np.append(first, len(self.owner)))
         place = self.owner[first] - first
-        return first, size, self.anchor[self.owner[first]], self.span(first, self.threshold - 1 + size, place)
+        return first, size, self.anchor[self.owner[first]], place, *self.digests(first, self.threshold - 1 + size)
 
     def blocks(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(first start, number of starts, first digit, block, shared bytes, all bytes) of runs cut
-        at multiples of ``PLACES`` places before the anchor. Every window of a block holds its
-        shared bytes; all its windows together cover all its bytes."""
+        """(first start, number of starts, first digit, block, shared bytes, place, digest, run) of
+        runs cut at multiples of ``PLACES`` places before the anchor. Every window of a block holds
+        its shared bytes; all its windows together cover the bytes of the digest."""
         anchor = self.owner[first]
         high, low = anchor - first, anchor - first - size + 1  # places of the first and last start
         per = high // PLACES - low // PLACES + 1
@@ -134,15 +144,15 @@ class Prints:
         block = high[run] // PLACES - (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
         top, bottom = np.minimum(high[run], block * PLACES + PLACES - 1), np.maximum(low[run], block * PLACES)
         at, count = anchor[run] - top, top - bottom + 1
-        shared = self.span(anchor[run] - block * PLACES, np.full(len(at), self.threshold - PLACES + 1))
-        return at, count, self.anchor[anchor[run]], block, shared, self.span(at, self.threshold - 1 + count, top % PLACES), run
+        shared = self.span(anchor[run] - block * PLACES, self.threshold - PLACES + 1)
+        return at, count, self.anchor[anchor[run]], block, shared, top, *self.digests(at, self.threshold - 1 + count), run
 
     def windows(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(start, first digit, place of the anchor, all bytes) of every suffix."""
+        """(start, first digit, place of the anchor, digest, run) of every suffix."""
         run = np.repeat(np.arange(len(first)), size)
         at = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
         owner = self.owner[at]
-        return at, self.anchor[owner], owner - at, self.span(at, np.full(len(at), self.threshold)), run
+        return at, self.anchor[owner], owner - at, *self.digests(at, np.full(len(at), self.threshold)), run
 
 
 def _slices(size: int, threshold: int):
@@ -221,19 +231,20 @@ def _rows(keyed: DataFrame, schema: str, threshold: int, make, runs: DataFrame |
     return source.mapInArrow(each, schema)
 
 
-def _sift(rows: DataFrame, bucket: list[str], kind: str, name: str) -> DataFrame:
+def _sift(rows: DataFrame, bucket: list[str], name: str) -> DataFrame:
     """One pass: of ``rows``, those whose bucket has others, stored with ``total`` (members of
     their kind) and ``open`` (the bucket has several kinds, one of them alone)."""
-    kinds = rows.groupBy(*bucket, kind).agg(F.sum("n").alias("total"))
+    whole = list(dict.fromkeys([*bucket, *KIND]))
+    kinds = rows.groupBy(*whole).agg(F.sum("n").alias("total"))
     live = kinds.groupBy(*bucket).agg(F.count("*").alias("kinds"), F.sum("total").alias("members"), F.min("total").alias("least")).where("members > 1")
-    marks = kinds.join(live, bucket).select(*bucket, kind, "total", F.expr("kinds > 1 and least = 1").alias("open")).where("total > 1 or open")
-    return runtime.stage_table(rows.join(marks, [*bucket, kind]), name, files=runtime.few_files(rows.sparkSession, rows.count()))
+    marks = kinds.join(live, bucket).select(*whole, "total", F.expr("kinds > 1 and least = 1").alias("open")).where("total > 1 or open")
+    return runtime.stage_table(rows.join(marks, whole), name, files=runtime.few_files(rows.sparkSession, rows.count()))
 
 
-def _open(sifted: DataFrame, bucket: list[str], kind: str) -> DataFrame:
+def _open(sifted: DataFrame, bucket: list[str]) -> DataFrame:
     """One row of each kind in open buckets, with the number that it stands for."""
     one = F.min(F.struct(*KEY, "at", "size")).alias("one")
-    return sifted.where("open").groupBy(*bucket, kind).agg(one, F.max("total").alias("n")).select("one.*", "n")
+    return sifted.where("open").groupBy(*bucket, *KIND).agg(one, F.max("total").alias("n")).select("one.*", "n")
 
 
 def _whole(sifted: DataFrame) -> DataFrame:
@@ -257,18 +268,20 @@ def repeated_spans(keyed: DataFrame, threshold: int) -> DataFrame:
         *columns, run = prints.windows(at, size)
         return *columns, n[run]
 
-    # counts of stored tables come from their footers
-    files = runtime.few_files(keyed.sparkSession, keyed.count(), TEXTS)
+    files = runtime.text_files(keyed)
     runs = runtime.stage_table(_rows(keyed, RUNS, threshold, all_runs), "suffix-runs", files=files)
-    first = _sift(runs.withColumn("n", F.lit(1)), ["anchor"], "run", "suffix-pass-1")
+    deal = ["anchor"]
+    first = _sift(runs.withColumn("n", F.lit(1)), deal, "suffix-pass-1")
     runtime.drop_staged(runs)
-    blocks = runtime.stage_table(_rows(keyed, BLOCKS, threshold, cut_runs, _open(first, ["anchor"], "run")), "suffix-blocks", files=files)
-    second = _sift(blocks, ["anchor", "block", "shared"], "bytes", "suffix-pass-2")
+    blocks = runtime.stage_table(_rows(keyed, BLOCKS, threshold, cut_runs, _open(first, deal)), "suffix-blocks", files=files)
+    deal = ["anchor", "block", "shared"]
+    second = _sift(blocks, deal, "suffix-pass-2")
     runtime.drop_staged(blocks)
-    windows = runtime.stage_table(_rows(keyed, WINDOWS, threshold, suffixes, _open(second, ["anchor", "block", "shared"], "bytes")), "suffix-windows", files=files)
-    third = _sift(windows.withColumn("size", F.lit(1)), ["anchor", "place"], "bytes", "suffix-pass-3")
+    windows = runtime.stage_table(_rows(keyed, WINDOWS, threshold, suffixes, _open(second, deal)), "suffix-windows", files=files)
+    third = _sift(windows.withColumn("size", F.lit(1)), ["anchor", "place"], "suffix-pass-3")
     runtime.drop_staged(windows)
-    found = _whole(first).unionByName(_whole(second)).unionByName(_whole(third))
+    # rows that share a key have the same spans: each span once, however many rows there are
+    found = _whole(first).unionByName(_whole(second)).unionByName(_whole(third)).distinct()
     return found.groupBy(*KEY).agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
 
@@ -285,33 +298,45 @@ def covered(spans: tuple[np.ndarray, np.ndarray] | None, threshold: int) -> list
     return list(zip(begin[new].tolist(), end[last].tolist()))
 
 
+def _cut(data: bytes, gone: list[tuple[int, int]]) -> list[bytes]:
+    """What is left of ``data`` outside of the runs ``gone``."""
+    at, kept = 0, []
+    for begin, end in gone:
+        kept.append(data[at:begin])
+        at = end
+    kept.append(data[at:])
+    return kept
+
+
+def _text(kept: list[bytes]) -> str:
+    """The pieces as one text, without the characters that were cut inside."""
+    return "".join([k.decode(errors="ignore") for k in kept])
+
+
 def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
     """Remove every byte that a repeated ``threshold``-byte string covers.
 
-    Result: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    Result: doc_id, n_bytes (of the input), n_removed, n_spans, kept_sha256 (of the bytes that are
+    left) and text, what is left to read: those bytes without characters that were cut inside.
     """
     keyed = with_key(docs)
     spans = repeated_spans(keyed, threshold)
 
     def cut(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, found in zip(batch.column(1).to_pylist(), _lists(batch.column(2), ("at", "size"))):
                 data = (text or "").encode()
                 gone = covered(found, threshold)
-                at, kept = 0, []
-                for begin, end in gone:
-                    kept.append(data[at:begin])
-                    at = end
-                kept.append(data[at:])
+                kept = _cut(data, gone)
                 rest = b"".join(kept)
-                for into, x in zip(out, (len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest())):
+                for into, x in zip(out, (len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), _text(kept) if gone else text or "")):
                     into.append(x)
-            cols = [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cols = [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(x, pa.string()) for x in out[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    joined = keyed.join(spans, KEY, "left").coalesce(runtime.few_files(docs.sparkSession, docs.count(), TEXTS)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = keyed.join(spans, KEY, "left").coalesce(runtime.text_files(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(docs: DataFrame, threshold: int) -> DataFrame:
@@ -320,28 +345,20 @@ def without_repeats(docs: DataFrame, threshold: int) -> DataFrame:
     A character that is cut inside goes as a whole. Rows keep their other columns, and stay even
     if nothing is left of their text.
     """
-    own = {"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_k2": F.xxhash64("text")}
-    keyed = docs.withColumns(own)
-    spans = repeated_spans(keyed.selectExpr("_k1 k1", "_k2 k2", "text"), threshold).selectExpr("k1 _k1", "k2 _k2", "spans _spans")
-    joined = keyed.join(spans, ["_k1", "_k2"], "left").select(*docs.columns, "_spans").coalesce(runtime.few_files(docs.sparkSession, docs.count(), TEXTS))
+    k1, k2, spans_ = runtime.free_names(docs, "k1", "k2", "spans")
+    keyed = docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), k2: F.xxhash64("text")})
+    spans = repeated_spans(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "text"), threshold).withColumnsRenamed({"k1": k1, "k2": k2, "spans": spans_})
+    joined = keyed.join(spans, [k1, k2], "left").select(*runtime.columns(docs), spans_).coalesce(runtime.text_files(docs))
     names = docs.columns
     at, last = names.index("text"), len(names)
 
     def cut(batches):
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(at).to_pylist(), _lists(batch.column(last), ("at", "size"))):
-                if found is not None:
-                    data, here, kept = text.encode(), 0, []
-                    for begin, end in covered(found, threshold):
-                        kept.append(data[here:begin])
-                        here = end
-                    kept.append(data[here:])
-                    text = "".join([k.decode(errors="ignore") for k in kept])
-                texts.append(text)
+            found = _lists(batch.column(last), ("at", "size"))
+            texts = [text if spans is None else _text(_cut(text.encode(), covered(spans, threshold))) for text, spans in zip(batch.column(at).to_pylist(), found)]
             columns = list(batch.columns[:last])
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last])
 
-    out = joined.mapInArrow(cut, docs.schema)
+    out = runtime.map_in_arrow(joined, cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

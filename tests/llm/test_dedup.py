@@ -91,6 +91,7 @@ def test_simhash_groups(spark, bucket):
     ids = sorted(prints)
     edges = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
     want = least(edges, ids)
+    assert bucket == 3 or any(prints[a] != prints[b] for a, b in edges)
     for r in got:
         if r["doc_id"] is not None:
             assert r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == want[r["doc_id"]]
@@ -98,6 +99,23 @@ def test_simhash_groups(spark, bucket):
     assert simhash.simhash_groups(df.limit(0)).count() == 0
 
 
+def test_simhash_null_ids_link(spark):
+    """A row without an id, near two others that aren't near each other, joins them."""
+    texts = [" ".join(f"w{i}" for i in range(300))]
+    r = random.Random(2)
+    while len(texts) < 400:
+        t = r.choice(texts).split()
+        t[r.randrange(len(t))] = f"x{r.randrange(1000)}"
+        texts.append(" ".join(t))
+    prints = [plain_fingerprint(t) for t in texts]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2
+    chain = next((a, m, b) for m in range(400) for a in range(400) for b in range(a) if near(a, m) and near(m, b) and not near(a, b) and len({prints[a], prints[m], prints[b]}) == 3)
+    a, m, b = (texts[i] for i in chain)
+    rows = [(7, a), (None, m), (9, b), (None, "quite another text that nobody is near to")]
+    got = {(x["doc_id"], x["component_id"]) for x in simhash.simhash_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(7, 7), (None, 7), (9, 7), (None, None)}
+
+
 def test_similar_groups_keep_one(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
@@ -167,9 +185,72 @@ def passages(seed, alphabet="abcdé \n"):
 @pytest.mark.parametrize("threshold", [60, 100, 256, 400])
 def test_repeats(spark, threshold):
     texts = passages(threshold) if threshold != 100 else passages(1, "ab")
-    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumn("k1", F.lit("clash")).repartition(4)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumns({c: F.lit("clash") for c in ("k1", "spans", "anchor")}).repartition(4)
     got = sorted(repeats.remove_repeats(df, threshold).collect())
-    assert [tuple(r)[1:] for r in got] == brute_repeats(texts, threshold)
+    assert [tuple(r)[1:5] for r in got] == brute_repeats(texts, threshold)
+    for r, text in zip(got, texts):
+        assert r["text"] == (text or "") if not r["n_removed"] else len(r["text"].encode()) <= r["n_bytes"] - r["n_removed"]
+
+
+@pytest.mark.parametrize("threshold", [60, 256])
+def test_repeats_are_exact_whatever_the_fingerprints(spark, monkeypatch, threshold):
+    whole = repeats.Prints.__init__
+
+    def weak(self, *args):
+        """Fingerprints of three bits, so that strangers share every bucket."""
+        whole(self, *args)
+        self.anchor, self.block = self.anchor & np.uint64(7), self.block & np.uint64(7)
+
+    span = repeats.Prints.span
+    monkeypatch.setattr(repeats.Prints, "__init__", weak)
+    monkeypatch.setattr(repeats.Prints, "span", lambda self, *args: span(self, *args) & np.uint64(7))
+    texts = passages(threshold + 1)[:14] + passages(threshold + 1)[25:32]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    # in this process: what Python workers would run with the patched class
+    found = _spans_here(df, threshold)
+    assert [found[i] for i in range(len(texts))] == [x[1:3] for x in brute_repeats(texts, threshold)]
+
+
+def _spans_here(df, threshold):
+    """(bytes removed, runs) by doc_id, with the passes' rows made in this process."""
+    import pyarrow as pa
+
+    spark, rows_of = df.sparkSession, repeats._rows
+
+    def rows(keyed, schema, threshold, make, runs=None):
+        kept = {}
+
+        class Caught:
+            def join(self, *_):
+                return self
+
+            def select(self, *_):
+                return self
+
+            def mapInArrow(self, each, schema):
+                kept["each"] = each
+
+        rows_of(Caught(), schema, threshold, make, None)
+        source = keyed.select("k1", "k2", "text")
+        if runs is not None:
+            lists = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "size", "n")).alias("runs"))
+            source = source.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs")
+        made = pa.Table.from_batches(kept["each"](source.toArrow().to_batches()))
+        return spark.createDataFrame(made) if made.num_rows else spark.createDataFrame([], schema)
+
+    patch = pytest.MonkeyPatch()
+    patch.setattr(repeats, "_rows", rows)
+    try:
+        keyed = repeats.with_key(df)
+        spans = {(r["k1"], r["k2"]): r["spans"] for r in repeats.repeated_spans(keyed, threshold).collect()}
+    finally:
+        patch.undo()
+    out = {}
+    for r in keyed.collect():
+        found = spans.get((r["k1"], r["k2"]))
+        gone = repeats.covered(found and tuple(np.array([x[c] for x in found]) for c in ("at", "size")), threshold)
+        out[r["doc_id"]] = (sum(b - a for a, b in gone), len(gone))
+    return out
 
 
 def test_repeats_in_slices_and_odd_rows(spark, monkeypatch):
@@ -190,10 +271,12 @@ def test_repeats_in_slices_and_odd_rows(spark, monkeypatch):
 def test_without_repeats(spark):
     shared = "é" * 300
     rows = [(1, "A" + shared + "B", 0), (2, "C" + shared + "D", 0), (3, None, 0), (4, "short", 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("spans", F.lit("clash"))
+    clash = ("spans", "_spans", "K1", "_k1", "k2", "__k2", "a.b", "a`b")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({c: F.lit("clash") for c in clash})
+    assert repeats.without_repeats(df, 256).columns == df.columns
     got = {r["doc_id"]: r for r in repeats.without_repeats(df, 256).collect()}
     assert (got[1]["text"], got[2]["text"], got[3]["text"], got[4]["text"]) == ("AB", "CD", None, "short")
-    assert got[1]["n_chars"] == 2 and got[1]["spans"] == "clash"
+    assert got[1]["n_chars"] == 2 and all(got[i][c] == "clash" for i in got for c in clash)
 
 
 def test_vectors(spark):
@@ -204,7 +287,8 @@ def test_vectors(spark):
     x[20] = 3 * x[21]
     rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
     rows += [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [1.0, None] + [0.0] * 6), (904, [float("inf")] + [1.0] * 7), (905, [1.0, 0.0]), (906, [2.0, 0.1]), (907, []), (903, [1.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("m", F.lit("clash"))
+    rows += [(None, (base[0] + 0.01).astype(np.float32).tolist()), (None, [3.0, 3.0, 1.0]), (None, [3.0, 3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("label", "m", "v", "rep", "cell")})
     con = duckdb.connect()
     import pyarrow as pa
 
@@ -217,10 +301,24 @@ def test_vectors(spark):
     groups = {}
     for p in range(len(v)):
         groups.setdefault(root[p], []).append(v[p][0])
-    want = sorted((v[p][0], int(degree[p]), min(groups[root[p]])) for p in range(len(v)))
+    name = lambda p: v[p][0] if v[p][1] is None else min((i for i in groups[root[p]] if i is not None), default=None)
+    want = sorted(((v[p][0], int(degree[p]), name(p)) for p in range(len(v))), key=repr)
     for pivots, part in ((1, 1000), (6, 1000), (6, 7)):
         got = metric_join.near_vectors(df.repartition(3), pivots=pivots, part_size=part).collect()
-        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
-        assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+        assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=repr) == want
+        assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
     assert metric_join.near_vectors(df.limit(0)).count() == 0
     assert metric_join.near_vectors(df.where("vec_id between 900 and 904")).count() == 6
+
+
+def test_vectors_of_doubles_and_null_ids(spark):
+    edge = [0.9, 0.43588989435406735]
+    rows = [(1, [1e300, 0.0]), (2, [1.0, 0.0]), (3, edge), (4, [1e-300, 1e-300]), (5, [1.0, 1.0])]
+    got = metric_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    unit = {i: np.array(e) / max(e) for i, e in rows}
+    links = {i: sum(j != i and cosine(unit[i], unit[j]) >= 0.9 for j in unit) for i in unit}
+    assert {r["vec_id"]: r["n_links"] for r in got} == links and links[1] >= 1 and links[4] >= 1
+    rows = [(1, [1.0, 0.0]), (None, [0.95, 0.31]), (2, [0.81, 0.59])]
+    got = metric_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got} == {(1, 1, 1, True), (None, 2, 1, False), (2, 1, 1, False)}

@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
 from prismlake.llm import byte_bpe, packing, token_records  # noqa: E402
-from prismlake.llm.chunks import ChunkEncoder, encoder  # noqa: E402
+from prismlake.llm.chunks import ChunkEncoder  # noqa: E402
 from prismlake.llm.crc32c import crc32c, masked  # noqa: E402
 
 ODD = [
@@ -19,16 +20,37 @@ ODD = [
 SCHEMA = "doc_id long, text string"
 
 
+def library(name):
+    """A tokenizer of the library that nothing here has touched."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path(name))
+
+
 def texts(spark):
     return [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
 
 
 @pytest.mark.parametrize("name,style", [("byte_bpe_50k.json", "leading_space"), ("word_bpe_49k.json", "dropped_space")])
 def test_chunks_give_the_ids_of_whole_texts(spark, name, style):
+    fresh = library(name)
     for limit in (1_000_000, 7):
         e = ChunkEncoder(P.path(name), style, limit)
         for t in ODD + texts(spark)[: 60 if limit > 7 else 3]:
-            assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tok.encode(t or "", add_special_tokens=False).ids
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == fresh.encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name,style,end", [("byte_bpe_50k.json", "leading_space", 50256), ("word_bpe_49k.json", "dropped_space", 49407)])
+def test_added_tokens_are_those_of_the_library(name, style, end):
+    r, fresh, e = random.Random(3), library(name), ChunkEncoder(P.path(name), style)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\n", "word", " Word's", "é", "12", "<|endof", "text|>", "."]
+    met = 0
+    for _ in range(2000):
+        t = "".join(r.choices(parts, k=r.randrange(1, 9)))
+        ids = np.frombuffer(e.encode(t), "<u4").tolist()
+        assert ids == fresh.encode(t, add_special_tokens=False).ids
+        met += end in ids
+    assert met > 500
 
 
 def slow_crc32c(data):
@@ -68,13 +90,13 @@ def test_frames_in_any_order_and_corruption():
 
 
 def test_records(spark):
-    rows = [(5, "b b"), (1, None), (3, ""), (2, "日本"), (9, "x " * 3000), (5, "b b"), (None, "n")]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("start", pytest.importorskip("pyspark.sql.functions").lit("clash"))
+    rows = [(5, "b b"), (1, None), (3, ""), (2, "日本"), (9, "x " * 3000), (5, "b b"), (None, "n"), (4, "end <|endoftext|> next")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("start", "n_tokens", "part")})
     got = token_records.token_records(df.repartition(3), P.path("byte_bpe_50k.json")).collect()
-    e = encoder(P.path("byte_bpe_50k.json"), "leading_space")
+    fresh = library("byte_bpe_50k.json")
     start = 0
     for (doc_id, text), r in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), sorted(got, key=lambda r: r["start"])):
-        ids = np.frombuffer(e.encode(text), "<u4").tolist() + [0]
+        ids = fresh.encode(text or "", add_special_tokens=False).ids + [0]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert token_records.token_records(df.limit(0), P.path("byte_bpe_50k.json")).count() == 0
@@ -102,7 +124,7 @@ def test_byte_bpe_is_that_of_the_library(spark):
 
 
 def test_byte_bpe_query(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(0, None), (None, "x")], SCHEMA)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(0, None), (None, "x")], SCHEMA).withColumns({c: F.lit("clash") for c in ("decoded", "n_tokens", "ids")})
     got = byte_bpe.byte_bpe(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, texts=True).collect()
     assert len(got) == len(ODD) + 2
     assert all(r["decoded"] == (ODD[r["doc_id"]] or "") for r in got if r["doc_id"] is not None)
@@ -134,11 +156,13 @@ def test_exact_fills_are_found():
 
 
 def test_packing(spark):
-    rows = [(i, "word " * n) for i, n in enumerate([0, 1, 5, 9, 40, 200, 3])] + [(1, "word "), (1, "word "), (7, None), (None, "a b")]
-    df = spark.createDataFrame(rows, SCHEMA)
+    rows = [(i, "word " * n) for i, n in enumerate([0, 1, 5, 9, 40, 200, 3])] + [(1, "word "), (1, "word "), (7, None), (None, "a b"), (8, "a <|endoftext|>b")] + [(None, "same")] * 40
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("length", "piece", "_salt", "_rank", "turn")})
     got = packing.pack_documents(df.repartition(4), P.path("word_bpe_49k.json"), capacity=16).collect()
-    e = encoder(P.path("word_bpe_49k.json"), "dropped_space")
-    assert sum(r["length"] for r in got) == sum(len(e.encode(t)) // 4 + 1 for _, t in rows)
+    fresh = library("word_bpe_49k.json")
+    ids_of = lambda t: fresh.encode(t or "", add_special_tokens=False).ids + [1]
+    assert sum(r["length"] for r in got) == sum(len(ids_of(t)) for _, t in rows)
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in got if r["piece"] == 0) == sorted((i or -1, zlib.crc32(np.array(ids_of(t)[:16], "<u4").tobytes())) for i, t in rows)
     by = {}
     for r in got:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -149,7 +173,41 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 16
-    ids = np.frombuffer(e.encode("word " * 200), "<u4").tolist() + [1]
+    ids = ids_of("word " * 200)
     long = sorted((r for r in got if r["doc_id"] == 5), key=lambda r: r["piece"])
     assert [r["ids_crc32"] for r in long] == [zlib.crc32(np.array(ids[k : k + 16], "<u4").tobytes()) for k in range(0, len(ids), 16)]
     assert packing.pack_documents(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def fewest(lengths, capacity):
+    """Fewest sequences, by trying every way to fill the one that holds the longest piece."""
+    import functools
+    from itertools import combinations
+
+    @functools.lru_cache(maxsize=None)
+    def best(left):
+        if not left:
+            return 0
+        first, rest = left[0], left[1:]
+        options = {tuple(some) for n in range(len(rest) + 1) for some in combinations(rest, n) if first + sum(some) <= capacity}
+        out = len(left)
+        for some in options:
+            others = list(rest)
+            for x in some:
+                others.remove(x)
+            out = min(out, 1 + best(tuple(others)))
+        return out
+
+    return best(tuple(sorted(lengths, reverse=True)))
+
+
+def test_plans_against_the_optimum():
+    r, more = random.Random(5), 0
+    for _ in range(60):
+        cap = r.choice([10, 16])
+        lengths = [r.randint(1, cap) for _ in range(r.randrange(1, 9))]
+        got = packing.plan_packing({n: lengths.count(n) for n in set(lengths)}, cap).sequences
+        want = fewest(lengths, cap)
+        assert want <= got <= want + 1
+        more += got - want
+    assert more <= 3
