@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from prismlake.llm import packing, quality, queries, repeats, secrets, simhash
 from prismlake.runtime import stage_table, table
 
-#: Bytes of a repeated passage: below 50 words of prose in any of the languages.
+#: Bytes of a repeated passage. Of 51 words that repeat across documents, some 98.5 % have 256 bytes
+#: or more at sf0.1 (1168 of 76,913 windows, in 60 documents, aren't covered: junk of short words).
 PASSAGE = 256
 
 
@@ -33,7 +34,7 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced."""
-    clean = secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
+    clean = secrets.redact(docs, queries.secret_forest(spark))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
