@@ -58,9 +58,16 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from prismlake.llm.secrets import labelled_findings, scan, train
+    from prismlake.llm.secrets import scan
 
-    return scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+    return scan(table(spark, sf_dir, "documents"), secret_forest(spark))
+
+
+def secret_forest(spark: SparkSession):
+    """The forest that the query and the pipeline use."""
+    from prismlake.llm.secrets import dictionary, labelled_findings, train
+
+    return train(labelled_findings(spark), dictionary(vocabulary("word_bpe_49k.json")))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,16 @@ which a secret was taken. Repeated rows are each reported. An empty table gives
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismlake.functions.vectors import let
+from prismlake.runtime import columns, free_names
+
 NEAR = 60
 OPEN, CLOSE = "\u0001", "\u0002"
 REDACTED = "[secret]"
@@ -36,11 +40,10 @@ KEYWORDS = "secret|token|password|passwd|pwd|api[_-]?key|access[_-]?key|private[
 ISSUED = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)?|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
 #: Words next to strings that look like secrets and aren't.
 HARMLESS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|version|revision|build|example|sample|dummy|phone|card|order|invoice|serial|isbn|color|etag"
-#: Words and syllables of prose; covered characters speak against a secret.
-DICTIONARY = "password|secret|token|change|example|there|which|their|about|would|these|other|where|could|tion|ment|ight|ough|ness|with|that|this|from|have|word|user|name|file|path|data|test|home|mail|http|www|com|org|net|the|and|ing|ent|ion|her|for|tha|nth|ers|ati|ere|hat|his|res|ver|all|est|der|und|die|sch|ein|ich|che|des|les|que|con|par|ado|los|est|eau|eux|oui|ou|an|er|on|th|he|in|re"
-
 _TOKEN = r"[\w+/.~@-]"
-CANDIDATE = rf"""((?i:{KEYWORDS})["']?\s{{0,2}}[:=]\s{{0,2}}["']?)([^\s"',;\u0001\u0002]{{6,}})|({ISSUED})|(?<!{_TOKEN})((?={_TOKEN}*[0-9]){_TOKEN}{{12,}})"""
+#: An alternative begins with a character or place that is rare, so that most are passed at once.
+_ASSIGNED = rf"""([:=](?<=(?i:{KEYWORDS})["']?\s{{0,2}}[:=])\s{{0,2}}["']?)([^\s"',;\u0001\u0002]{{6,}})"""
+CANDIDATE = rf"""{_ASSIGNED}|(?=[Agxse-])({ISSUED})|(?<!{_TOKEN})((?={_TOKEN}{{12}})(?={_TOKEN}*[0-9]){_TOKEN}+)"""
 #: A text without a digit and without any of these can't have a candidate; cheap to find.
 HINTS = ["=", ":", "PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_", "eyJ"]
 
@@ -55,8 +58,17 @@ def _flag(condition: Column) -> Column:
     return condition.cast("double")
 
 
-def features(before: Column, candidate: Column, behind: Column) -> list[Column]:
-    """In the order of ``FEATURES``."""
+def dictionary(path: str, words: int = 400, least: int = 4) -> list[str]:
+    """The first (most frequent) words of letters only that end in ``</w>`` in a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        known = sorted(json.load(f)["model"]["vocab"].items(), key=lambda item: item[1])
+    whole = (w[:-4] for w, _ in known if w.endswith("</w>"))
+    return [w for w in whole if len(w) >= least and w.isascii() and w.isalpha()][:words]
+
+
+def features(before: Column, candidate: Column, behind: Column, words: list[str]) -> list[Column]:
+    """In the order of ``FEATURES``; ``words``: the dictionary that a candidate may be covered by."""
+    covered = "|".join(sorted(words, key=lambda w: (-len(w), w))) or r"\b\B"
     size = F.greatest(F.length(candidate), F.lit(1))
     runs = F.size(F.regexp_extract_all(candidate, F.lit(r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+"), F.lit(0)))
     return [
@@ -68,7 +80,7 @@ def features(before: Column, candidate: Column, behind: Column) -> list[Column]:
         (runs - 1) / size,
         F.size(F.regexp_extract_all(F.lower(candidate), F.lit(r"[b-df-hj-np-tv-z][aeiouy]"), F.lit(0))) * 2 / size,
         F.size(F.array_distinct(F.split(candidate, ""))) / size,
-        1 - F.length(F.regexp_replace(F.lower(candidate), DICTIONARY, "")) / size,
+        1 - F.length(F.regexp_replace(F.lower(candidate), covered, "")) / size,
         _flag(candidate.rlike("^[0-9a-fA-F]+$")),
         _flag(candidate.rlike(f"^(?:{ISSUED})$")),
         F.length(F.regexp_replace(candidate, r"[^/\\.@]", "")) / size,
@@ -103,9 +115,10 @@ def _tree(lines: list[tuple[int, str]], at: int, value) -> tuple[Column, int]:
 
 
 class Forest:
-    """A trained forest as its description, one text per tree."""
+    """A trained forest as its description, one text per tree, and its dictionary."""
 
-    def __init__(self, description: str):
+    def __init__(self, description: str, words: list[str]):
+        self.words = words
         self.trees: list[list[tuple[int, str]]] = []
         for line in description.splitlines():
             text = line.strip()
@@ -120,8 +133,18 @@ class Forest:
         return reduce(lambda a, b: a + b, votes) / F.lit(float(len(votes)))
 
 
+#: What the rules of ``labelled_findings`` make: secrets first, then what is mistaken for them.
+FORMS = [
+    "cloud key", "assigned hex", "assigned letters and digits", "assigned password", "hub token", "chat token", "map key", "payment key", "web token", "private key",
+    "harmless hex", "bare hex", "card", "address", "mail", "link", "file", "word with digits", "placeholder", "assigned word", "uuid", "harmless letters and digits",
+]
+
+
 def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 7) -> DataFrame:
-    """(before, candidate, behind, label), made from rules; the same for the same arguments."""
+    """(before, candidate, behind, label, form), made from rules; the same for the same arguments.
+
+    ``form`` is the number of the rule, by which whole rules can be held out (``FORMS`` names them).
+    """
 
     def text(alphabet: str, length: int | Column, key: str) -> Column:
         """A random string: one hash for each character."""
@@ -169,48 +192,62 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 7) -> D
         (harmless, text(every, number(12, 24, "n"), "c"), behind),
     ]
     rules = [*[(r, 1.0) for r in yes], *[(r, 0.0) for r in no]]
-    cases = F.array(*[F.struct(b.alias("before"), c.alias("candidate"), e.alias("behind"), F.lit(label).alias("label")) for (b, c, e), label in rules])
+    cases = F.array(*[F.struct(b.alias("before"), c.alias("candidate"), e.alias("behind"), F.lit(label).alias("label"), F.lit(k).alias("form")) for k, ((b, c, e), label) in enumerate(rules)])
     return spark.range(0, max(1, rows // len(rules)), 1, 1).select(F.explode(cases).alias("f")).select("f.*")
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 8, seed: int = 7) -> Forest:
-    """A forest from findings (before, candidate, behind, label 0 or 1); null labels don't count."""
+def train(findings: DataFrame, words: list[str], trees: int = 20, depth: int = 8, seed: int = 7) -> Forest:
+    """A forest from findings (before, candidate, behind, label 0 or 1); null labels don't count.
+
+    ``words``: see ``dictionary``.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    named = [c.alias(n) for n, c in zip(FEATURES, features(F.col("before"), F.col("candidate"), F.col("behind")))]
+    named = [c.alias(n) for n, c in zip(FEATURES, features(F.col("before"), F.col("candidate"), F.col("behind"), words))]
     table = findings.where("label is not null and candidate is not null").na.fill("", ["before", "behind"]).select(*named, F.col("label").cast("double").alias("label"))
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table)
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table).select("features", "label").cache()
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, featureSubsetStrategy="sqrt").fit(data)
-    return Forest(model.toDebugString)
+    data.unpersist()
+    return Forest(model.toDebugString, words)
+
 
+def _starts(parts: Column) -> Column:
+    """For each element, the characters before it: sums of blocks of about the square root of
+    their number, so that very many candidates in one text don't cost their square."""
+    length = lambda some: F.aggregate(some, F.lit(0), lambda n, p: n + F.length(p))
 
-_PARTS, _STARTS, _SEEN, _FOUND = (f"_secrets_{k}" for k in ("parts", "starts", "seen", "found"))
+    def with_width(b: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(parts), b), lambda i: length(F.slice(parts, i, b)))
+        before = let(blocks, lambda x: F.transform(x, lambda _, k: F.aggregate(F.slice(x, F.lit(1), k), F.lit(0), lambda n, y: n + y)))
+        return let(before, lambda x: F.transform(parts, lambda _, i: x[F.floor(i / b).cast("int")] + length(F.slice(parts, i - i % b + 1, i % b))))
 
+    return let(F.ceil(F.sqrt(F.size(parts))).cast("int"), with_width)
 
-def with_findings(docs: DataFrame, forest: Forest) -> DataFrame:
-    """``docs`` with working columns: the parts of the text and, for every candidate in order,
-    (at, candidate, score). Each step is a column of its own, so that it is computed once."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
 
-    def move(acc: Column, part: Column) -> Column:
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+def with_findings(docs: DataFrame, forest: Forest) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with working columns, and their names: ``parts`` of the text and ``found``, for every
+    candidate in order (at, candidate, score). Each step is a column of its own, so that it is
+    computed once."""
+    names = dict(zip(("parts", "starts", "seen", "found"), free_names(docs, "parts", "starts", "seen", "found")))
 
     def describe(i: Column) -> Column:
-        part = F.col(_PARTS)
+        part = F.col(names["parts"])
         left, right = F.right(part[i - 1], F.lit(NEAR)), F.left(part[i + 1], F.lit(NEAR))
-        return F.struct(F.col(_STARTS)[i].alias("at"), part[i].alias("candidate"), F.array(*[x.cast("double") for x in features(left, part[i], right)]).alias("f"))
+        return F.struct(F.col(names["starts"])[i].alias("at"), part[i].alias("candidate"), F.array(*[x.cast("double") for x in features(left, part[i], right, forest.words)]).alias("f"))
 
-    some = F.size(_PARTS) > 2
-    out = docs.withColumn(_PARTS, parts(F.col("text")))
-    out = out.withColumn(_STARTS, F.when(some, F.aggregate(_PARTS, start, move)["all"]))
-    out = out.withColumn(_SEEN, F.when(some, F.transform(F.sequence(F.lit(1), F.size(_PARTS) - 2, F.lit(2)), describe)))
-    return out.withColumn(_FOUND, F.transform(_SEEN, lambda c: F.struct(c["at"].alias("at"), c["candidate"].alias("candidate"), forest.score(lambda k: c["f"][k]).alias("score"))))
+    some = F.size(names["parts"]) > 2
+    out = docs.withColumn(names["parts"], parts(F.col("text")))
+    out = out.withColumn(names["starts"], F.when(some, _starts(F.col(names["parts"]))))
+    out = out.withColumn(names["seen"], F.when(some, F.transform(F.sequence(F.lit(1), F.size(names["parts"]) - 2, F.lit(2)), describe)))
+    return out.withColumn(names["found"], F.transform(names["seen"], lambda c: F.struct(c["at"].alias("at"), c["candidate"].alias("candidate"), forest.score(lambda k: c["f"][k]).alias("score")))), names
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """One row per candidate: doc_id, at (characters before it), n_chars, digest, score, secret."""
-    found = with_findings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), forest).select("doc_id", F.explode(_FOUND).alias("c"))
+    # outer: for an inner explode the optimizer adds a filter that computes the whole array again
+    found, at = with_findings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), forest)
+    found = found.select("doc_id", F.explode_outer(at["found"]).alias("c")).where("c is not null")
     return found.select(
         "doc_id",
         F.col("c.at").cast("long").alias("at"),
@@ -223,12 +260,12 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
 
 def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; other columns and texts as they were."""
-    found = with_findings(docs, forest)
+    found, at = with_findings(docs, forest)
 
     def clean(part: Column, i: Column) -> Column:
-        secret = (i % 2 == 1) & (F.get(F.col(_FOUND), F.floor(i / 2).cast("int"))["score"] >= threshold)
+        secret = (i % 2 == 1) & (F.get(F.col(at["found"]), F.floor(i / 2).cast("int"))["score"] >= threshold)
         return F.when(secret, F.lit(REDACTED)).otherwise(part)
 
-    any_ = F.coalesce(F.exists(_FOUND, lambda c: c["score"] >= threshold), F.lit(False))
-    text = F.when(any_, F.array_join(F.transform(_PARTS, clean), "")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    any_ = F.coalesce(F.exists(at["found"], lambda c: c["score"] >= threshold), F.lit(False))
+    text = F.when(any_, F.array_join(F.transform(at["parts"], clean), "")).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(*columns(docs))
