@@ -6,7 +6,8 @@ that fill a gap exactly are consumed as often as the counts allow; what is left
 best fit, longest first. A plan works on counts, so its size is bounded by the capacity (at
 most ``capacity`` lengths, and every step of the plan exhausts a length or a class of open
 gaps), whatever the number of documents. Documents then take the slots of their length by
-rank, found with counts per (length, salt), so one common length is never sorted in one task.
+rank, found with counts per (length, salt), so one common length is never sorted in one task;
+a piece's salt is its turn in the task that cut it, so that not even equal rows share one.
 
 Nulls: a null text is the empty text (one end id); a null doc_id is kept. Rows that are
 alike in every column are each packed. An empty table gives an empty result.
@@ -24,25 +25,31 @@ from pyspark.sql import functions as F
 from prismlake import runtime
 from prismlake.llm.chunks import encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, turn int"
+SALTS = 512
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, style: str = "dropped_space") -> DataFrame:
-    """Whole texts as pieces of at most ``capacity`` ids; only longer documents are cut."""
+    """Whole texts as pieces of at most ``capacity`` ids; only longer documents are cut.
+
+    ``turn`` counts the pieces of a task, modulo ``SALTS``.
+    """
     runtime.bounded_arrow_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
+        made = 0
         for batch in batches:
             enc = encoder(tokenizer, style)
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "turn")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = enc.encode(text) + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
-                    for k, v in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                    for k, v in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), made % SALTS)):
                         out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()})
+                    made += 1
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k in ("piece", "turn") else pa.int64()) for k, v in out.items()})
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -176,10 +183,10 @@ def _best_fit(plan: Plan, count: np.ndarray, capacity: int) -> None:
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Add sequence_id and offset to staged ``pieces`` (doc_id, piece, length, ids_crc32, ...).
+    """``pieces`` (doc_id, piece, start, length, ids_crc32, turn) with sequence_id and offset, without turn.
 
-    ``pieces`` is read three times and so should be a stored table. Collected to the driver:
-    one count per length, ``capacity`` at most.
+    ``pieces`` is read three times and must be a stored table. Collected to the driver: one
+    count per length, ``capacity`` at most.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -189,29 +196,26 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     base = int(order[:, 1].max(initial=0) + order[:, 2].max(initial=0) + 1)  # above every rank
     slots = spark.sparkContext.broadcast((order[:, 0] * base + order[:, 1], order))
 
-    salts = min(512, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    salted = pieces.withColumn("_salt", F.pmod(F.hash("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    per = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    # at most capacity x salts rows of 24 bytes: 50 MB at 4096 x 512
-    first = per.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    local = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(local) - 1).join(F.broadcast(first), ["length", "_salt"])
-    keep = pieces.columns
-    ranked = ranked.select(*keep, (F.col("_first") + F.col("_rank")).alias("_rank"))
+    per = pieces.groupBy("length", "turn").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    first = per.select("length", "turn", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    local = Window.partitionBy("length", "turn").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = pieces.withColumn("place", F.row_number().over(local) - 1).join(first, ["length", "turn"])
+    keep = [c for c in pieces.columns if c != "turn"]
+    ranked = ranked.select(*keep, (F.col("first") + F.col("place")).alias("rank"))
 
     def assign(batches):
         low, rows = slots.value
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64)
+            rank = batch.column("rank").to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.searchsorted(low, length * base + rank, "right") - 1
             found = rows[at]
             out = {k: batch.column(k) for k in keep}
             out["sequence_id"], out["offset"] = pa.array(found[:, 3] + rank - found[:, 1]), pa.array(found[:, 4])
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "turn")
     return ranked.mapInArrow(assign, f"{schema}, sequence_id long, offset long")
 
 
