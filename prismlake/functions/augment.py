@@ -14,8 +14,12 @@ from prismlake.functions.images import despeckle, resize
 
 Change = Callable[[np.ndarray, np.random.Generator], np.ndarray]
 
-#: How strong the changes are and how likely.
-STRENGTH = {"light": (0.5, 0.3), "medium": (1.0, 0.5), "strong": (1.5, 0.8)}
+#: Magnitude of the changes, and how likely geometric and photometric ones are.
+STRENGTH = {"none": (0.0, 0.0, 0.0), "light": (0.5, 0.5, 0.3), "medium": (1.0, 0.7, 0.5), "strong": (1.5, 0.9, 0.8)}
+#: Weights of red, green and blue in the luma.
+LUMA = np.array([0.299, 0.587, 0.114])
+#: Places of red and near infrared among the thirteen bands.
+RED, INFRARED = 3, 7
 
 
 def seed_of(seed: int, row_id: str, epoch: int = 0) -> np.random.Generator:
@@ -38,16 +42,18 @@ def sometimes(change: Change, p: float) -> Change:
 # radar (decibels) -------------------------------------------------------------------------
 
 
-def gamma_speckle(x, rng, looks=(1, 2, 4, 8)):
+def gamma_speckle(x, rng, looks=(1, 2, 4, 8), decibels=True):
+    """Speckle of mean one that multiplies intensities, and so adds to decibels."""
     n = rng.choice(looks)
-    return x + 10 * np.log10(np.maximum(rng.gamma(n, 1 / n, x.shape), 1e-6))
+    field = np.maximum(rng.gamma(n, 1 / n, x.shape), 1e-6)
+    return x + 10 * np.log10(field) if decibels else x * field
 
 
-def additive_speckle(x, rng, sigma=0.5):
+def additive_speckle(x, rng, sigma=1.0):
     return x + rng.normal(0, sigma, x.shape)
 
 
-def decibel_jitter(x, rng, shift=1.5, scale=0.1):
+def decibel_jitter(x, rng, shift=1.5, scale=0.05):
     gain = 1 + rng.uniform(-scale, scale, (len(x), 1, 1))
     return x * gain + rng.uniform(-shift, shift, (len(x), 1, 1))
 
@@ -61,20 +67,19 @@ def drop_polarisation(x, rng):
     return out
 
 
-def random_despeckle(x, rng, sizes=(3, 5, 7)):
-    size = int(rng.choice(sizes))
+def random_despeckle(x, rng, size=7):
     return despeckle(x, size) if min(x.shape[1:]) > size // 2 else x
 
 
 # optical ----------------------------------------------------------------------------------
 
 
-def color_jitter(x, rng, brightness=0.3, contrast=0.3, saturation=0.3):
+def color_jitter(x, rng, brightness=0.3, contrast=0.3, saturation=0.2):
     x = x + rng.uniform(-brightness, brightness)
     mean = x.mean((1, 2), keepdims=True)
     x = mean + (x - mean) * (1 + rng.uniform(-contrast, contrast))
     if len(x) >= 3:
-        gray = np.tensordot(np.array([0.299, 0.587, 0.114]), x[:3], 1)[None]
+        gray = np.tensordot(LUMA, x[:3], 1)[None]
         x = np.concatenate([gray + (x[:3] - gray) * (1 + rng.uniform(-saturation, saturation)), x[3:]])
     return x
 
@@ -82,49 +87,53 @@ def color_jitter(x, rng, brightness=0.3, contrast=0.3, saturation=0.3):
 def grayscale(x, rng):
     if len(x) < 3:
         return x
-    gray = np.tensordot(np.array([0.299, 0.587, 0.114]), x[:3], 1)
+    gray = np.tensordot(LUMA, x[:3], 1)
     return np.concatenate([np.repeat(gray[None], 3, 0), x[3:]])
 
 
-def gaussian_blur(x, rng, sigmas=(0.1, 2.0)):
+def gaussian_blur(x, rng, sigmas=(0.3, 1.2)):
+    """A Gaussian along either axis, the border mirrored."""
     sigma = rng.uniform(*sigmas)
-    reach = max(1, int(3 * sigma + 0.5))
+    reach = max(1, round(3 * sigma))
     k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     k /= k.sum()
     for axis in (1, 2):
-        wide = np.pad(x, [(0, 0)] + [(reach, reach) if a == axis else (0, 0) for a in (1, 2)], mode="edge")
-        x = sum(w * np.take(wide, np.arange(i, i + x.shape[axis]), axis) for i, w in enumerate(k))
+        n = x.shape[axis]
+        places = _mirror(np.arange(-reach, n + reach), n)
+        x = sum(w * np.take(x, places[i : i + n], axis) for i, w in enumerate(k))
     return x
 
 
-def erase(x, rng, area=(0.02, 0.2), value=0.0):
+def erase(x, rng, area=(0.02, 0.2), ratios=(0.3, 3.3)):
+    """A rectangle of that share of the area takes the mean of its channel."""
     _, h, w = x.shape
-    size = rng.uniform(*area) * h * w
-    ratio = np.exp(rng.uniform(np.log(0.3), np.log(3.3)))
-    eh, ew = min(h, max(1, round(np.sqrt(size * ratio)))), min(w, max(1, round(np.sqrt(size / ratio))))
-    y, z = rng.integers(0, h - eh + 1), rng.integers(0, w - ew + 1)
+    size, ratio = rng.uniform(*area) * h * w, rng.uniform(*ratios)
+    eh, ew = min(h, round(np.sqrt(size * ratio))), min(w, round(np.sqrt(size / ratio)))
     out = x.copy()
-    out[:, y : y + eh, z : z + ew] = value
+    if eh and ew:
+        y, z = rng.integers(0, h - eh + 1), rng.integers(0, w - ew + 1)
+        out[:, y : y + eh, z : z + ew] = x.mean((1, 2), keepdims=True)
     return out
 
 
 # multispectral ----------------------------------------------------------------------------
 
 
-def drop_bands(x, rng, p=0.2):
-    """Bands go to zero; one stays at least."""
-    keep = rng.random(len(x)) >= p
-    keep[rng.integers(len(x))] = True
-    return x * keep[:, None, None]
+def drop_bands(x, rng, share=0.3):
+    """Up to that share of the bands, one at least, may go to zero."""
+    lost = rng.choice(len(x), int(rng.integers(0, max(1, int(len(x) * share)) + 1)), replace=False)
+    out = x.copy()
+    out[lost] = 0
+    return out
 
 
-def spectral_tube(x, rng, bands=3, share=0.3):
-    """A block of neighbouring bands is masked inside a window."""
-    c, h, w = x.shape
-    bands, th, tw = min(bands, c), max(1, int(h * share)), max(1, int(w * share))
-    b, y, z = rng.integers(0, c - bands + 1), rng.integers(0, h - th + 1), rng.integers(0, w - tw + 1)
+def spectral_tube(x, rng, shares=(0.1, 0.3)):
+    """A block of neighbouring bands goes to zero as a whole."""
+    c = len(x)
+    bands = min(c, max(1, round(rng.uniform(*shares) * c)))
+    first = rng.integers(0, c - bands + 1)
     out = x.copy()
-    out[b : b + bands, y : y + th, z : z + tw] = 0
+    out[first : first + bands] = 0
     return out
 
 
@@ -133,12 +142,13 @@ def band_gain(x, rng, gain=0.1, bias=0.05):
     return x * (1 + rng.uniform(-gain, gain, n)) + rng.uniform(-bias, bias, n)
 
 
-def ndvi_jitter(x, rng, red=3, infrared=7, scale=0.15):
-    """Red and near infrared move against each other."""
+def ndvi_jitter(x, rng, red=RED, infrared=INFRARED, scale=0.1):
+    """Red and near infrared get a gain each, by which vegetation looks another."""
     if len(x) <= max(red, infrared):
         return x
-    out, d = x.copy(), rng.uniform(-scale, scale)
-    out[red], out[infrared] = x[red] * (1 - d), x[infrared] * (1 + d)
+    out = x.copy()
+    for band in (infrared, red):
+        out[band] = x[band] * (1 + rng.uniform(-scale, scale))
     return out
 
 
@@ -164,7 +174,7 @@ def _mirror(at: np.ndarray, n: int) -> np.ndarray:
     return np.where(at > n - 1, 2 * (n - 1) - at, at)
 
 
-def small_rotation(x, rng, degrees=10.0):
+def small_rotation(x, rng, degrees=12.0):
     """Bilinear, the edge mirrored."""
     _, h, w = x.shape
     a = np.deg2rad(rng.uniform(-degrees, degrees))
@@ -177,39 +187,46 @@ def small_rotation(x, rng, degrees=10.0):
     return x[:, y0, x0] * (1 - fy) * (1 - fx) + x[:, y1, x0] * fy * (1 - fx) + x[:, y0, x1] * (1 - fy) * fx + x[:, y1, x1] * fy * fx
 
 
-def random_crop(x, rng, scale=(0.6, 1.0)):
-    """A window of that share of the area, brought back to the size of the image."""
+def random_crop(x, rng, scale=(0.6, 1.0), ratios=(0.85, 1.18), size=None, tries=10):
+    """A window of that share of the area and ratio of its sides, brought to a square of ``size``
+    (the image's height); the square in the middle if no window drawn fits."""
     _, h, w = x.shape
-    side = np.sqrt(rng.uniform(*scale))
-    ch, cw = max(1, round(h * side)), max(1, round(w * side))
-    y, z = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
-    part = x[:, y : y + ch, z : z + cw]
-    if h != w:
-        part = np.pad(part, [(0, 0), (0, h - ch), (0, w - cw)], mode="edge")
-        return part
-    return resize(part, h)
-
-
-def geometric(p: float = 0.5) -> Change:
+    ch = cw = min(h, w)
+    y, z = (h - ch) // 2, (w - cw) // 2
+    for _ in range(tries):
+        area, ratio = h * w * rng.uniform(*scale), np.exp(rng.uniform(*np.log(ratios)))
+        wide, high = round(np.sqrt(area * ratio)), round(np.sqrt(area / ratio))
+        if 0 < wide <= w and 0 < high <= h:
+            z, y = rng.integers(0, w - wide + 1), rng.integers(0, h - high + 1)
+            ch, cw = high, wide
+            break
+    return resize(x[:, y : y + ch, z : z + cw], size or h)
+
+
+def geometric(strength: str = "medium") -> Change:
     """Flips, quarter turns, a small rotation and a crop, in this order."""
-    return chain(sometimes(hflip, p), sometimes(vflip, p), sometimes(rot90, p), sometimes(small_rotation, p), sometimes(random_crop, p))
+    m, p, _ = STRENGTH[strength]
+    turn, crop = (lambda x, r: small_rotation(x, r, 12.0 * m)), (lambda x, r: random_crop(x, r, (1 - 0.4 * m, 1.0)))
+    return chain(sometimes(hflip, p), sometimes(vflip, p), sometimes(rot90, p), sometimes(turn, 0.4 * p), sometimes(crop, 0.5 * p))
 
 
 def photometric(modality: str, strength: str = "medium") -> Change:
-    s, p = STRENGTH[strength]
+    """What the sensor may do to an image; each change has a likelihood of its own."""
+    m, _, p = STRENGTH[strength]
     if modality == "sar":
-        changes = [gamma_speckle, lambda x, r: additive_speckle(x, r, 0.5 * s), lambda x, r: decibel_jitter(x, r, 1.5 * s), drop_polarisation, random_despeckle]
+        changes = [(gamma_speckle, p), (lambda x, r: additive_speckle(x, r, 1.0 * m), 0.6 * p), (lambda x, r: decibel_jitter(x, r, 1.5 * m), p), (drop_polarisation, 0.4 * p), (random_despeckle, 0.3 * p)]
     elif modality == "optical_rgb":
-        changes = [lambda x, r: color_jitter(x, r, 0.3 * s, 0.3 * s, 0.3 * s), grayscale, gaussian_blur, erase]
+        changes = [(lambda x, r: color_jitter(x, r, 0.3 * m, 0.3 * m, 0.2 * m), p), (grayscale, 0.3 * p), (lambda x, r: gaussian_blur(x, r, (0.3, max(0.3, 1.2 * m))), 0.5 * p), (erase, 0.5 * p)]
     elif modality == "multispectral":
-        changes = [lambda x, r: drop_bands(x, r, 0.2 * s), spectral_tube, lambda x, r: band_gain(x, r, 0.1 * s), ndvi_jitter]
+        changes = [(drop_bands, 0.6 * p), (spectral_tube, 0.5 * p), (lambda x, r: band_gain(x, r, 0.1 * m, 0.05 * m), p), (lambda x, r: ndvi_jitter(x, r, scale=0.1 * m), 0.4 * p)]
     else:
-        changes = [lambda x, r: band_gain(x, r, 0.1 * s)]
-    return chain(*[sometimes(c, p) for c in changes])
+        changes = [(lambda x, r: band_gain(x, r, 0.05 * m, 0.03 * m), p)]
+    return chain(*[sometimes(change, likely) for change, likely in changes])
 
 
 def augmentation(modality: str, strength: str = "medium") -> Change:
-    return chain(geometric(STRENGTH[strength][1]), photometric(modality, strength))
+    """Photometric changes, then geometric ones."""
+    return chain(photometric(modality, strength), geometric(strength))
 
 
 def paired(images: dict[str, np.ndarray], seed: int, row_id: str, epoch: int = 0, strength: str = "medium") -> dict[str, np.ndarray]:
@@ -218,7 +235,7 @@ def paired(images: dict[str, np.ndarray], seed: int, row_id: str, epoch: int = 0
     for modality, x in images.items():
         same = seed_of(seed, row_id, epoch)
         own = seed_of(seed + 1, f"{row_id}/{modality}", epoch)
-        out[modality] = photometric(modality, strength)(geometric(STRENGTH[strength][1])(x, same), own)
+        out[modality] = photometric(modality, strength)(geometric(strength)(x, same), own)
     return out
 
 

@@ -1,4 +1,8 @@
-"""Approximate search by cells: k-means centroids partition the gallery, queries probe some."""
+"""Approximate search by cells: k-means centroids partition the gallery, queries probe some.
+
+A cell is scored where it lies: the queries that probe it come to it, in tasks of bounded
+parts of a cell and of its queries, and only k rows of each query and task are shuffled.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.operators import search as exact_search
-from prismlake.operators.rerank import exact_refine
+from prismlake.runtime import stage_table
+
+#: Numbers that a block of distances to centroids may hold, and bytes of a sample on the driver.
+BLOCK_NUMBERS, SAMPLE_BYTES = 1 << 23, 256 << 20
+PART_ROWS, PART_QUERIES = 65_536, 4_096
 
 
 class CellIndex:
@@ -16,6 +24,24 @@ class CellIndex:
         self.gallery, self.centroids = gallery, centroids
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return x.reshape(len(column), -1) if len(column) else x.reshape(0, 1)
+
+
+def nearest_centroids(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest centroids of each row, in blocks of bounded size; 0 if there are none."""
+    if not len(c):
+        return np.zeros((len(x), 1), np.int32)
+    out, square = np.empty((len(x), min(probes, len(c))), np.int32), (c * c).sum(1)
+    step = max(1, BLOCK_NUMBERS // len(c))
+    for at in range(0, len(x), step):
+        far = square - 2 * x[at : at + step] @ c.T
+        out[at : at + step] = far.argmin(1)[:, None] if probes == 1 else np.argsort(far, axis=1, kind="stable")[:, :probes]
+    return out
+
+
 def _nearest(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """``df`` once for each of its ``probes`` nearest cells."""
     names = df.columns
@@ -25,37 +51,49 @@ def _nearest(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                c = shared.value
-                far = (c * c).sum(1) - 2 * x @ c.T
-                best = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                out = batch.take(pa.array(np.repeat(np.arange(len(x)), best.shape[1])))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(best.ravel().astype(np.int32))], [*names, "cell_id"])
+                best = nearest_centroids(_matrix(batch.column(at)), shared.value, probes)
+                out = batch.take(pa.array(np.repeat(np.arange(len(best)), best.shape[1])))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(best.ravel())], [*names, "cell_id"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.where("embedding is not null").mapInArrow(run, schema + ", cell_id int")
 
 
 def build(gallery: DataFrame, cells: int = 1024, sample: int = 262_144, iterations: int = 10, seed: int = 0) -> CellIndex:
-    """Centroids fitted on at most ``sample`` rows (the least hashes); every row gets a cell."""
-    some = gallery.where("embedding is not null").orderBy(F.xxhash64(F.lit(seed), "gallery_index"), "gallery_index").limit(sample).select(F.col("embedding").cast("array<double>"))
-    x = np.array(some.toArrow().column(0).to_pylist())
+    """Centroids fitted on at most ``sample`` rows (the least hashes) and at most ``SAMPLE_BYTES``
+    of them; every row gets a cell, in a stored table."""
+    whole = gallery.where("embedding is not null")
+    d = whole.select(F.max(F.size("embedding"))).first()[0] or 1
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * d)))
+    some = whole.orderBy(F.xxhash64(F.lit(seed), "gallery_index"), "gallery_index").limit(sample).select(F.col("embedding").cast("array<double>"))
+    x = _matrix(some.toArrow().column(0))
     cells = max(1, min(cells, len(x)))
-    c = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
-    for _ in range(iterations):
-        near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        count = np.bincount(near, minlength=cells)
-        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
-    return CellIndex(_nearest(gallery, c, 1), c)
-
-
-def search(queries: DataFrame, index: CellIndex, k: int, probes: int = 8, pool: int | None = None) -> DataFrame:
-    """Candidates of the probed cells by an equi-join, refined by exact cosine."""
-    probing = _nearest(queries, index.centroids, probes).select("query_id", "cell_id")
-    met = probing.join(index.gallery.select("cell_id", "gallery_index"), "cell_id").select("query_id", "gallery_index")
-    return exact_refine(queries, index.gallery, met, k)
+    c = x[np.random.default_rng(seed).permutation(len(x))[:cells]] if len(x) else np.zeros((0, d))
+    for _ in range(iterations if len(x) else 0):
+        near = nearest_centroids(x, c, 1)[:, 0]
+        order = np.argsort(near, kind="stable")
+        count = np.bincount(near, minlength=len(c))
+        on = np.flatnonzero(count)
+        c[on] = np.add.reduceat(x[order], (np.cumsum(count) - count)[on]) / count[on, None]
+    return CellIndex(stage_table(_nearest(gallery, c, 1), "cells"), c)
+
+
+def search(queries: DataFrame, index: CellIndex, k: int, probes: int = 8, gallery_modality: str | None = None, by_modality: bool = False, leave_one_out: bool = False, same_location: bool = False) -> DataFrame:
+    """As the exact search with the same filters, over the rows of the probed cells."""
+    gallery = index.gallery if gallery_modality is None else index.gallery.where(F.col("modality") == gallery_modality)
+    q = exact_search.columns_of(_nearest(queries, index.centroids, probes), "query_id", "cell_id")
+    g = exact_search.columns_of(gallery, "gallery_index", "cell_id")
+    # one row per cell, and there are as many cells as centroids
+    parts = lambda df, rows, name: df.groupBy("cell_id").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    shape = F.broadcast(parts(g, PART_ROWS, "parts").join(parts(q, PART_QUERIES, "turns"), "cell_id"))
+    salt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(shape, "cell_id").withColumn("part", each("parts")).withColumn("turn", salt("query_id", "turns")).drop("parts", "turns")
+    right = g.join(shape, "cell_id").withColumn("part", salt("gallery_index", "parts")).withColumn("turn", each("turns")).drop("parts", "turns")
+    key = ["cell_id", "part", "turn"]
+    pair = exact_search.block_pair(k, by_modality, leave_one_out, same_location)
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(pair, exact_search.HITS)
+    return exact_search.best_hits(found, k, by_modality)
 
 
 def enough_probes(queries: DataFrame, index: CellIndex, k: int, least: int = 8, wanted: float = 0.95, sample: int = 256) -> int:

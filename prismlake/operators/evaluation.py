@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismlake.operators import metrics
 from prismlake.operators.search import search
 
+MODALITIES = 1000  # kinds of sensor; the driver lists them
 SPARE = 8  # hits fetched beyond the deepest cut-off
 
 
@@ -24,8 +25,11 @@ def relevant_counts(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     One less where the gallery modality holds the query itself, by id or else by location,
     since such a row is excluded from the hits; never below zero.
     """
-    cells = gallery.select(F.col("modality").alias("g_modality")).distinct()
-    q = queries.select("query_id", "id", "location_id", "label").join(F.broadcast(cells))  # modalities: a handful
+    names = sorted(r[0] for r in gallery.select("modality").where("modality is not null").distinct().limit(MODALITIES + 1).collect())
+    if len(names) > MODALITIES:
+        raise ValueError(f"a gallery has {MODALITIES} modalities at most")
+    cells = F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>"))
+    q = queries.select("query_id", "id", "location_id", "label", cells.alias("g_modality"))
     by_id = gallery.select("id", F.col("modality").alias("g_modality")).distinct().withColumn("_own", F.lit(1))
     by_place = gallery.where("location_id is not null").select("location_id", F.col("modality").alias("g_modality")).distinct().withColumn("_near", F.lit(1))
     rows = q.join(relevance_table(gallery), ["g_modality", "label"], "left").join(by_id, ["id", "g_modality"], "left").join(by_place, ["location_id", "g_modality"], "left")

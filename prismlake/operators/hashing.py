@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.functions.vectors import hamming
+from prismlake.operators import search
 from prismlake.operators.whitening import moments
+from prismlake.runtime import spread
 
 
 class Itq:
@@ -71,11 +73,78 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return out.select("query_id", "gallery_index", "distance", "rank")
 
 
+class _Nearest:
+    """The k nearest codes so far of each of some queries."""
+
+    def __init__(self, key: np.ndarray, code: np.ndarray, k: int):
+        self.key, self.code, self.k = key, code, k
+        self.far = self.at = np.zeros((len(key), 0), np.int64)
+
+    def add(self, key: np.ndarray, code: np.ndarray) -> None:
+        far = np.zeros((len(self.key), len(key)), np.int64)
+        for word in range(code.shape[1]):
+            far += np.bitwise_count(self.code[:, None, word] ^ code[None, :, word])
+        far = np.concatenate([self.far, far], 1)
+        at = np.concatenate([self.at, np.broadcast_to(key, (len(self.key), len(key)))], 1)
+        order = np.lexsort((at, far), axis=1)[:, : self.k]
+        self.far, self.at = np.take_along_axis(far, order, 1), np.take_along_axis(at, order, 1)
+
+    def batch(self) -> pa.RecordBatch:
+        query = np.broadcast_to(self.key[:, None], self.at.shape)
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(query.ravel()), "gallery_index": pa.array(self.at.ravel()), "distance": pa.array(self.far.ravel())})
+
+
+NEAR = "query_id long, gallery_index long, distance long"
+
+
+def _keyed(table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    code = table.column("code")
+    code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+    return np.asarray(table.column(key).to_numpy(), np.int64), code.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(code), -1)
+
+
+def _in_blocks(key: np.ndarray, code: np.ndarray, k: int) -> list[_Nearest]:
+    return [_Nearest(key[i : i + search.QUERY_ROWS], code[i : i + search.QUERY_ROWS], k) for i in range(0, len(key), search.QUERY_ROWS)]
+
+
 def hamming_topk(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
-    """Exact: every query against every code. Catalyst keeps k rows a task before it shuffles."""
-    q = queries.select("query_id", F.col("code").alias("qc"))
-    pairs = q.join(gallery.select("gallery_index", "code"), F.lit(True)).select("query_id", "gallery_index", hamming("qc", "code").cast("long").alias("distance"))
-    return _best(pairs, k)
+    """Exact: every query against every code, in blocks; each task keeps k codes of a query.
+
+    Queries are broadcast if their counted size is below ``search.BROADCAST_BYTES``; else both
+    sides are dealt to a grid of blocks.
+    """
+    spark = queries.sparkSession
+    q, g = (df.where("code is not null").select(F.col(key).cast("long").alias(key), "code") for df, key in ((queries, "query_id"), (gallery, "gallery_index")))
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("code")).alias("w")).first()
+    n = size["n"]
+    if n * (8 * (size["w"] or 0) + 16) <= search.BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast(q.toArrow())
+
+        def near(batches):
+            best = _in_blocks(*_keyed(shared.value, "query_id"), k) if shared.value.num_rows else []
+            for batch in batches:
+                for at in range(0, batch.num_rows if best else 0, search.BLOCK_ROWS):
+                    side = _keyed(batch.slice(at, search.BLOCK_ROWS), "gallery_index")
+                    for b in best:
+                        b.add(*side)
+            yield from (b.batch() for b in best)
+
+        return _best(spread(g).mapInArrow(near, NEAR), k)
+    blocks = max(1, -(-n // search.BLOCK_ROWS))
+    strips = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    right = g.withColumn("gb", F.pmod(F.xxhash64("gallery_index"), F.lit(strips)).cast("int")).withColumn("qb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        best = _in_blocks(*_keyed(a, "query_id"), k) if a.num_rows and b.num_rows else []
+        for at in range(0, b.num_rows if best else 0, search.BLOCK_ROWS):
+            side = _keyed(b.slice(at, search.BLOCK_ROWS), "gallery_index")
+            for some in best:
+                some.add(*side)
+        none = pa.RecordBatch.from_pydict({c: pa.array([], pa.int64()) for c in ("query_id", "gallery_index", "distance")})
+        return pa.Table.from_batches([none, *(some.batch() for some in best)])
+
+    return _best(left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInArrow(pair, NEAR), k)
 
 
 def _pieces(df: DataFrame, tables: int, bits: int) -> DataFrame:

@@ -100,17 +100,44 @@ def _blocks(queries: pa.Table, words: dict, *options) -> list[_Best]:
     return [_Best(side.take(np.arange(i, min(i + QUERY_ROWS, len(side.key)))), *options) for i in range(0, len(side.key), QUERY_ROWS)]
 
 
-def _columns(df: DataFrame, key: str) -> DataFrame:
+def columns_of(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """What scoring reads of a side, and ``more`` columns."""
     have = set(df.columns)
     null = F.lit(None).cast("string")
     text = [F.col(c).cast("string").alias(c) if c in have else null.alias(c) for c in ("id", "modality", "location_id")]
-    return df.where(F.col("embedding").isNotNull()).select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"), *text)
+    return df.where(F.col("embedding").isNotNull()).select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"), *text, *more)
+
+
+def block_pair(k: int, by_modality: bool, leave_one_out: bool, same_location: bool, excluded: bool = False):
+    """The function that scores a block of queries against one of the gallery, as Arrow tables.
+
+    ``excluded``: rows of the first table with a value in ``not`` are pairs to leave out.
+    """
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        words: dict = {}
+        lists: dict[int, list[int]] = {}
+        if excluded:
+            pairs = a.filter(a["not"].is_valid())
+            for query, row in zip(pairs["query_id"].to_pylist(), pairs["not"].to_pylist()):
+                lists.setdefault(query, []).append(row)
+            a = a.filter(a["not"].is_null())
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "grp": pa.array([], pa.string()), "gallery_index": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        best = _blocks(a, words, k, by_modality, leave_one_out, same_location, lists)
+        for batch in b.to_batches(max_chunksize=BLOCK_ROWS):
+            side = _Side(batch, "gallery_index", words)
+            for part in best:
+                part.add(side)
+        return pa.Table.from_batches([batch for part in best for batch in part.batches(words)])
+
+    return pair
 
 
 def candidates(queries: DataFrame, gallery: DataFrame, k: int, by_modality: bool = False, leave_one_out: bool = False, same_location: bool = False, excluded: DataFrame | None = None) -> DataFrame:
     """Up to k rows of each query, group and task; ``search`` ranks them."""
     spark = queries.sparkSession
-    q, g = _columns(queries, "query_id"), _columns(gallery, "gallery_index")
+    q, g = columns_of(queries, "query_id"), columns_of(gallery, "gallery_index")
     size = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n, d = size["n"], size["d"] or 0
     # rows of the exclusion list go with the queries, so they count against the same bound
@@ -144,25 +171,7 @@ def candidates(queries: DataFrame, gallery: DataFrame, k: int, by_modality: bool
         left = left.unionByName(where, allowMissingColumns=True)
     right = g.withColumn("gb", F.pmod(F.xxhash64("gallery_index"), F.lit(strips)).cast("int")).withColumn("qb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
 
-    excluded_too = excluded is not None
-
-    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        words: dict = {}
-        lists: dict[int, list[int]] = {}
-        if excluded_too:
-            pairs = a.filter(a["not"].is_valid())
-            for query, row in zip(pairs["query_id"].to_pylist(), pairs["not"].to_pylist()):
-                lists.setdefault(query, []).append(row)
-            a = a.filter(a["not"].is_null())
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "grp": pa.array([], pa.string()), "gallery_index": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        best = _blocks(a, words, k, by_modality, leave_one_out, same_location, lists)
-        for batch in b.to_batches(max_chunksize=BLOCK_ROWS):
-            side = _Side(batch, "gallery_index", words)
-            for part in best:
-                part.add(side)
-        return pa.Table.from_batches([batch for part in best for batch in part.batches(words)])
-
+    pair = block_pair(k, by_modality, leave_one_out, same_location, excluded is not None)
     return left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInArrow(pair, HITS)
 
 
@@ -183,7 +192,11 @@ def search(queries: DataFrame, gallery: DataFrame, k: int, gallery_modality: str
         raise ValueError("k must be positive")
     if gallery_modality is not None:
         gallery = gallery.where(F.col("modality") == gallery_modality)
-    found = candidates(queries, gallery, k, by_modality, leave_one_out, same_location, excluded)
+    return best_hits(candidates(queries, gallery, k, by_modality, leave_one_out, same_location, excluded), k, by_modality)
+
+
+def best_hits(found: DataFrame, k: int, by_modality: bool) -> DataFrame:
+    """The ranked hits among what tasks ``found``."""
     out = ranked(found, k, ["query_id", "grp"] if by_modality else ["query_id"])
     columns = ["query_id", "gallery_index", "score", "rank"]
     return out.select(*columns, F.col("grp").alias("g_modality")) if by_modality else out.select(*columns)

@@ -95,13 +95,39 @@ def pooled_gallery(df: DataFrame, exclude: DataFrame) -> DataFrame:
 def disjoint_pairs(df: DataFrame) -> DataFrame:
     """Pairs of rows of different modality at one location, each row in one pair at most.
 
-    The rows of a location are numbered by turns of their modality and paired first with second,
-    third with fourth; pairs of one modality are left out.
+    Greedy in the order of modality, then gallery_index: each row that is still free takes the
+    first later one that is free and of another modality. Free rows that wait are therefore
+    always of one modality, and the next modality's rows take them in order; so which ranks
+    meet follows from the counts of the modalities alone, one small array a location.
     """
-    order = Window.partitionBy("location_id").orderBy("modality", "gallery_index")
-    rows = df.where("location_id is not null").withColumn("_rn", F.row_number().over(order))
-    rows = rows.withColumn("b_index", F.lead("gallery_index").over(order)).withColumn("_mod", F.lead("modality").over(order))
-    return rows.where("_rn % 2 = 1 and b_index is not null and _mod != modality").select("location_id", F.col("gallery_index").alias("a_index"), "b_index")
+    rows = df.where("location_id is not null and modality is not null").select("location_id", "modality", "gallery_index")
+    counts = rows.groupBy("location_id", "modality").agg(F.count("*").alias("n")).groupBy("location_id").agg(F.sort_array(F.collect_list(F.struct("modality", "n"))).alias("kinds"))
+    link = "array<struct<a:string,a_from:bigint,b:string,b_from:bigint,times:bigint>>"
+    start = F.struct(F.lit("").alias("kind"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("left"), F.array().cast(link).alias("links"))
+
+    def step(state: Column, kind: Column) -> Column:
+        """The rows of ``kind`` meet ``left`` waiting rows of ``state.kind``, from rank ``first`` on."""
+        times = F.least(state["left"], kind["n"])
+        met = F.struct(state["kind"].alias("a"), state["first"].alias("a_from"), kind["modality"].alias("b"), F.lit(0).cast("long").alias("b_from"), times.alias("times"))
+        links = F.when(times > 0, F.array_append(state["links"], met)).otherwise(state["links"])
+        waits = state["left"] > times
+        after = lambda old, new: F.when(waits, old).otherwise(new)
+        return F.struct(after(state["kind"], kind["modality"]).alias("kind"), after(state["first"] + times, times).alias("first"), after(state["left"], kind["n"]).alias("was"), links.alias("links")).withField("left", after(state["left"] - times, kind["n"] - times)).dropFields("was")
+
+    def ordered(state: Column) -> Column:
+        return F.struct(state["kind"].alias("kind"), state["first"].alias("first"), state["left"].alias("left"), state["links"].alias("links"))
+
+    plan = counts.select("location_id", F.explode(F.aggregate("kinds", start, lambda s, k: ordered(step(s, k)))["links"]).alias("l")).select("location_id", "l.*")
+    rank = F.row_number().over(Window.partitionBy("location_id", "modality").orderBy("gallery_index")) - 1
+    numbered = rows.withColumn("rank", rank)
+
+    def side(name: str) -> DataFrame:
+        kind, low = F.col(name), F.col(f"{name}_from")
+        of = plan.select("location_id", "a", "b", kind.alias("modality"), low.alias("low"), "times")
+        met = numbered.join(of, ["location_id", "modality"]).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("times")))
+        return met.select("location_id", "a", "b", (F.col("rank") - F.col("low")).alias("turn"), F.col("gallery_index").alias(f"{name}_index"))
+
+    return side("a").join(side("b"), ["location_id", "a", "b", "turn"]).select("location_id", "a_index", "b_index")
 
 
 def eligible_classes(df: DataFrame, min_size: int = 2, multimodal: bool = True) -> DataFrame:
@@ -113,23 +139,37 @@ def eligible_classes(df: DataFrame, min_size: int = 2, multimodal: bool = True)
     return classes.withColumn("_some", some).where("n_modalities >= 2 or not _some").drop("_some")
 
 
+def _drawn(seed: int, *cols: Column) -> Column:
+    """A number below 2**32 from whole numbers, the same on any engine."""
+    out = F.lit(seed * SEED_STEP % MODULUS)
+    for k, c in enumerate(cols):
+        out = out + F.pmod(c.cast("long"), F.lit(65_536)) * F.lit((MULTIPLIER * (2 * k + 1)) % MODULUS)
+    return out % F.lit(MODULUS)
+
+
 def pk_batches(df: DataFrame, p: int = 16, k: int = 4, batches: int = 1, seed: int = 0, epoch: int = 0, min_size: int = 2, multimodal: bool = True) -> DataFrame:
     """Batches of P classes with K rows each, spread over the modalities of the class.
 
-    Row ``place`` of a class takes the modality ``place mod m`` of its shuffled m modalities,
-    so quotas differ by one at most; a modality with too few rows starts over (replacement).
-    One row per (batch, label, place), and the same for the same seed and epoch.
+    An epoch numbers the classes, and the rows of each (class, modality), once in hashed order.
+    A batch takes the next P classes; ``place`` of a class takes the modality ``place mod m`` of
+    its m modalities from a drawn one on, so quotas differ by one at most, and the next rows
+    from a drawn one on; a modality with too few rows starts over (replacement). One row per
+    (batch, label, place), and the same for the same seed and epoch.
     """
-    draw = lambda *cols: F.xxhash64(F.lit(seed), F.lit(epoch), F.col("batch"), *cols)
+    stream = seed + 1_000_003 * epoch
     classes = eligible_classes(df, min_size, multimodal).select("label")
-    numbers = df.sparkSession.range(batches).select(F.col("id").cast("int").alias("batch"))
-    chosen = numbers.join(F.broadcast(classes)).withColumn("_c", F.row_number().over(Window.partitionBy("batch").orderBy(draw("label"), "label"))).where(F.col("_c") <= p)
-    mods = df.groupBy("label", "modality").agg(F.count("*").alias("_pool"))
-    slots = chosen.join(mods, "label")
-    order = Window.partitionBy("batch", "label").orderBy(draw("label", "modality"), "modality")
-    slots = slots.withColumn("_m", F.row_number().over(order) - 1).withColumn("_mods", F.count("*").over(Window.partitionBy("batch", "label")))
-    slots = slots.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("place") % F.col("_mods") == F.col("_m"))
-    slots = slots.withColumn("_pick", F.floor(F.col("place") / F.col("_mods")) % F.col("_pool"))
-    pool = Window.partitionBy("batch", "label", "modality").orderBy(draw("gallery_index"), "gallery_index")
-    members = chosen.select("batch", "label").join(df.select("label", "modality", "gallery_index"), "label").withColumn("_pick", F.row_number().over(pool) - 1)
-    return slots.join(members, ["batch", "label", "modality", "_pick"]).select("batch", "label", "place", "modality", "gallery_index")
+    order = Window.partitionBy(F.lit(0)).orderBy(_drawn(stream, F.col("label")), "label")  # one row per label
+    classes = classes.withColumn("_c", F.row_number().over(order) - 1).withColumn("_classes", F.count("*").over(Window.partitionBy(F.lit(0))))
+    taken = df.sparkSession.range(batches * p).select((F.col("id") / p).cast("int").alias("batch"), F.col("id").alias("_turn"), (F.col("id") % p).alias("_i"))
+    number = classes.agg(F.count("*").alias("_n"))
+    chosen = taken.join(F.broadcast(number)).where("_i < _n").withColumn("_c", F.col("_turn") % F.col("_n")).join(classes, "_c").select("batch", "label")
+    members = df.where("modality is not null").select("label", "modality", "gallery_index")
+    pool = Window.partitionBy("label", "modality").orderBy(*hash_order(stream))
+    members = members.withColumn("_pick", (F.row_number().over(pool) - 1).cast("long"))
+    kinds = members.groupBy("label", "modality").agg(F.count("*").alias("_pool"))
+    own = Window.partitionBy("label").orderBy("modality")
+    kinds = kinds.withColumn("_m", F.row_number().over(own) - 1).withColumn("_mods", F.count("*").over(Window.partitionBy("label")))
+    slots = chosen.join(kinds, "label").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    slots = slots.where((F.col("place") + _drawn(stream, F.col("batch"), F.col("label"))) % F.col("_mods") == F.col("_m"))
+    slots = slots.withColumn("_pick", (_drawn(stream, F.col("label"), F.col("batch"), F.col("_m")) + F.floor(F.col("place") / F.col("_mods"))) % F.col("_pool"))
+    return slots.join(members, ["label", "modality", "_pick"]).select("batch", "label", "place", "modality", "gallery_index")

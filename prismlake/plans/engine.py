@@ -51,10 +51,10 @@ class Engine:
             raise ValueError("index a gallery first")
         q = queries if encoded else self.encode(queries)
         method = method or self.config.search.rerank
-        if self._cells is not None and method == "none" and not filters:
+        if self._cells is not None and method == "none" and "excluded" not in filters:
             if k not in self._probes:  # measured by the first queries
                 self._probes[k] = ann.enough_probes(q, self._cells, k, self.config.search.probes)
-            hits = ann.search(q, self._cells, k, self._probes[k])
+            hits = ann.search(q, self._cells, k, self._probes[k], **filters)
         else:
             hits = rerank.search_with_rerank(q, self.gallery, k, self.config.search.pool, method, **filters)
         return with_hit_columns(hits, self.gallery)

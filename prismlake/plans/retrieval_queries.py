@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import vectors as V
 from prismlake.operators import ann, evaluation, hashing, metrics, rerank, search, splits, whitening
-from prismlake.plans.views import HELD_IN, SAMPLES, SPLIT, held_in, samples, scored, split, top
+from prismlake.plans.views import BASE, HELD_IN, PROBE, SAMPLES, held_in, probe, samples, scored, split, top
 
 QUERIES, ORACLES = {}, {}
 K = 10
@@ -27,24 +27,24 @@ def query(sql: str | None = None):
 HIT = "query_id, gallery_index, score, rank"
 
 
-@query(f"with {SPLIT}, {scored()}, {top(K)} select {HIT} from hits")
+@query(f"with {PROBE}, {scored()}, {top(K)} select {HIT} from hits")
 def topk_cosine(spark, sf):
-    return search.search(*split(spark, sf), K)
+    return search.search(*probe(spark, sf), K)
 
 
-@query(f"with {SPLIT}, {scored()}, {top(K, 'query_id, g_modality')} select {HIT}, g_modality from hits")
+@query(f"with {PROBE}, {scored()}, {top(K, 'query_id, g_modality')} select {HIT}, g_modality from hits")
 def topk_by_modality(spark, sf):
-    return search.search(*split(spark, sf), K, by_modality=True)
+    return search.search(*probe(spark, sf), K, by_modality=True)
 
 
-@query(f"with {SPLIT}, {scored("g.modality = 'sar'")}, {top(K)} select {HIT} from hits")
+@query(f"with {PROBE}, {scored("g.modality = 'sar'")}, {top(K)} select {HIT} from hits")
 def topk_in_modality(spark, sf):
-    return search.search(*split(spark, sf), K, gallery_modality="sar")
+    return search.search(*probe(spark, sf), K, gallery_modality="sar")
 
 
-@query(f"with {HELD_IN}, {scored('(q.query_id + g.gallery_index) % 7 <> 0 or g.gallery_index % 2 = 1')}, {top(K)} select {HIT} from hits")
+@query(f"with {PROBE}, {scored('(q.query_id + g.gallery_index) % 7 <> 0 or g.gallery_index % 2 = 1')}, {top(K)} select {HIT} from hits")
 def topk_with_exclusions(spark, sf):
-    q, g = held_in(spark, sf)
+    q, g = probe(spark, sf)
     pairs = q.select("query_id").join(g.select("gallery_index").where("gallery_index % 2 = 0"), F.expr("(query_id + gallery_index) % 7 = 0"))
     return search.search(q, g, K, excluded=pairs)
 
@@ -59,9 +59,9 @@ def topk_other_locations(spark, sf):
     return search.search(*held_in(spark, sf), K, leave_one_out=True, same_location=True)
 
 
-@query(f"with {SPLIT}, {scored()}, {top(5)} select h.query_id, h.gallery_index, h.score, h.rank, g.id as hit_id, g.label, g.modality from hits h join gallery g on g.gallery_index = h.gallery_index")
+@query(f"with {PROBE}, {scored()}, {top(5)} select h.query_id, h.gallery_index, h.score, h.rank, g.id as hit_id, g.label, g.modality from hits h join gallery g on g.gallery_index = h.gallery_index")
 def hits_with_columns(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     return search.with_hit_columns(search.search(q, g, 5), g)
 
 
@@ -142,17 +142,17 @@ def headline_f1(spark, sf):
     return _rounded(evaluation.headline(evaluation.evaluate(*held_in(spark, sf), KS)["cells"]))
 
 
-@query(f"with {SPLIT}, {scored()}, {top(K)}, ranked as (select query_id, rank + 1 as rank, label = query_label as rel from hits), judged as (select *, sum(cast(rel as int)) over (partition by query_id order by rank) as cum from ranked), rq as (select q.query_id, (select count(*) from gallery g where g.label = q.label) as total_relevant from queries q) select r.query_id, r.total_relevant, {', '.join(f'round({n}, 6) as {n}' for n in NAMES)} from (select r.query_id, r.total_relevant, {_metric_sql(KS, 'capped')} from rq r left join judged j on j.query_id = r.query_id group by r.query_id, r.total_relevant) r")
+@query(f"with {PROBE}, {scored()}, {top(K)}, ranked as (select query_id, rank + 1 as rank, label = query_label as rel from hits), judged as (select *, sum(cast(rel as int)) over (partition by query_id order by rank) as cum from ranked), rq as (select q.query_id, (select count(*) from gallery g where g.label = q.label) as total_relevant from queries q) select r.query_id, r.total_relevant, {', '.join(f'round({n}, 6) as {n}' for n in NAMES)} from (select r.query_id, r.total_relevant, {_metric_sql(KS, 'capped')} from rq r left join judged j on j.query_id = r.query_id group by r.query_id, r.total_relevant) r")
 def capped_metrics(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     hits = search.search(q, g, K).withColumn("rank", F.col("rank") + 1).join(g.select("gallery_index", "label"), "gallery_index")
     totals = q.select("query_id", "label").join(g.groupBy("label").agg(F.count("*").alias("total_relevant")), "label", "left").select("query_id", F.coalesce("total_relevant", F.lit(0)).alias("total_relevant"))
     return _rounded(metrics.per_query(metrics.judge(hits, q), totals, KS, "capped"))
 
 
-@query(f"with {SPLIT}, {scored()}, {top(K)}, gains as (select query_id, rank + 1 as rank, abs(label - query_label) % 4 as gain from hits), best as (select *, row_number() over (partition by query_id order by gain desc, rank) as b from gains) select query_id, round(case when sum(gain) filter (b <= 5) > 0 then sum(gain / log2(rank + 1)) filter (rank <= 5) / sum(gain / log2(b + 1)) filter (b <= 5) else 0.0 end, 6) as ndcg_at_5 from best group by query_id")
+@query(f"with {PROBE}, {scored()}, {top(K)}, gains as (select query_id, rank + 1 as rank, abs(label - query_label) % 4 as gain from hits), best as (select *, row_number() over (partition by query_id order by gain desc, rank) as b from gains) select query_id, round(case when sum(gain) filter (b <= 5) > 0 then sum(gain / log2(rank + 1)) filter (rank <= 5) / sum(gain / log2(b + 1)) filter (b <= 5) else 0.0 end, 6) as ndcg_at_5 from best group by query_id")
 def graded_ndcg(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     hits = search.search(q, g, K).join(g.select("gallery_index", "label"), "gallery_index").join(q.select("query_id", F.col("label").alias("ql")), "query_id")
     return _rounded(metrics.graded_ndcg(hits.select("query_id", (F.col("rank") + 1).alias("rank"), (F.abs(F.col("label") - F.col("ql")) % 4).cast("double").alias("gain")), 5))
 
@@ -168,7 +168,7 @@ HASHED = f"with {SAMPLES}, hashed as (select *, (gallery_index * 2654435761 + 38
 
 
 @query(f"{HASHED}, numbered as (select *, row_number() over (partition by label order by h, gallery_index) as rn, count(*) over (partition by label) as n from hashed) select gallery_index, label, case when rn <= least(greatest(1, round_even(n * 0.2, 0)), n - 1) then 'query' else 'gallery' end as part from numbered")
-def stratified_split(spark, sf):
+def stratified_probe(spark, sf):
     return splits.stratified_split(samples(spark, sf), 0.2, ["label"], seed=17).select("gallery_index", "label", "part")
 
 
@@ -178,7 +178,7 @@ def balanced_split_by_modality(spark, sf):
 
 
 @query(f"{HASHED}, numbered as (select *, row_number() over (partition by label order by h, gallery_index) as rn, count(*) over (partition by label) as n from hashed) select gallery_index, label, case when rn <= least(6, n - 1) then 'gallery' else 'query' end as part from numbered where rn <= least(6, n - 1) + least(3, n - least(6, n - 1))")
-def exact_count_split(spark, sf):
+def exact_count_probe(spark, sf):
     return splits.exact_count_split(samples(spark, sf), gallery=6, queries=3, by=["label"], seed=17).select("gallery_index", "label", "part")
 
 
@@ -204,7 +204,7 @@ def distinct_modalities(spark, sf):
 
 
 @query(f"{HASHED}, numbered as (select *, row_number() over (partition by modality, label order by h, gallery_index) as rn, count(*) over (partition by modality, label) as n from hashed where modality in ('optical_rgb', 'sar')), parts as (select *, rn <= least(greatest(1, round_even(n * 0.2, 0)), n - 1) as q from numbered) select gallery_index, modality, case when q then 'query' else 'gallery' end as part from parts where (q and modality = 'optical_rgb') or (not q and modality = 'sar')")
-def cross_modal_split(spark, sf):
+def cross_modal_probe(spark, sf):
     return splits.cross_modal_split(samples(spark, sf), "optical_rgb", "sar", 0.2, seed=17).select("gallery_index", "modality", "part")
 
 
@@ -214,9 +214,40 @@ def pooled_gallery(spark, sf):
     return splits.pooled_gallery(rows, split(spark, sf)[0].select("id")).select("gallery_index")
 
 
-@query(f"with {SAMPLES}, o as (select location_id, modality, gallery_index, row_number() over (partition by location_id order by modality, gallery_index) as rn from samples) select a.location_id, a.gallery_index as a_index, b.gallery_index as b_index from o a join o b on a.location_id = b.location_id and b.rn = a.rn + 1 where a.rn % 2 = 1")
+#: The greedy rule itself, row by row: a row takes the first that waits if that is of another
+#: modality, else it waits.
+GREEDY = f"""with recursive {BASE},
+o as (select cast(gallery_index // 7 as varchar) as location_id, modality, gallery_index, row_number() over (partition by gallery_index // 7 order by modality, gallery_index) as rn from samples),
+walk(location_id, rn, kind, waiting, a_index, b_index) as (
+  select location_id, cast(0 as bigint), '', []::bigint[], null::bigint, null::bigint from o group by location_id
+  union all
+  select o.location_id, o.rn, case when len(waiting) > 0 and kind <> modality then kind else modality end,
+    case when len(waiting) > 0 and kind <> modality then waiting[2:] else list_append(waiting, gallery_index) end,
+    case when len(waiting) > 0 and kind <> modality then waiting[1] end, case when len(waiting) > 0 and kind <> modality then gallery_index end
+  from walk w join o on o.location_id = w.location_id and o.rn = w.rn + 1)
+select location_id, a_index, b_index from walk where a_index is not null"""
+
+
+@query(GREEDY)
 def disjoint_pairs(spark, sf):
-    return splits.disjoint_pairs(samples(spark, sf))
+    """Locations of seven rows, so that modalities have several."""
+    return splits.disjoint_pairs(samples(spark, sf).withColumn("location_id", F.expr("cast(gallery_index div 7 as string)")))
+
+
+def _drawn_sql(seed: int, *columns: str) -> str:
+    return f"(({seed * splits.SEED_STEP % splits.MODULUS} + " + " + ".join(f"({c} % 65536) * {splits.MULTIPLIER * (2 * k + 1) % splits.MODULUS}" for k, c in enumerate(columns)) + f") % {splits.MODULUS})"
+
+
+@query(f"""with {BASE},
+multi as (select label, count(distinct modality) as kinds from samples group by label having count(*) >= 2),
+classes as (select label, row_number() over (order by {_drawn_sql(5, 'label')}, label) - 1 as c, count(*) over () as n from multi where kinds >= 2 or not exists (select 1 from multi where kinds >= 2)),
+chosen as (select t.r // 4 as batch, label from range(12) t(r) join classes on c = t.r % n where t.r % 4 < n),
+members as (select label, modality, gallery_index, row_number() over (partition by label, modality order by (gallery_index * {splits.MULTIPLIER} + {5 * splits.SEED_STEP % splits.MODULUS}) % {splits.MODULUS}, gallery_index) - 1 as pick from samples),
+kinds as (select label, modality, count(*) as pool, row_number() over (partition by label order by modality) - 1 as m, count(*) over (partition by label) as mods from samples group by label, modality),
+slots as (select batch, label, modality, p.place, m, mods, pool from chosen join kinds using (label) cross join range(6) p(place) where (p.place + {_drawn_sql(5, 'batch', 'label')}) % mods = m)
+select cast(batch as int) as batch, label, cast(place as int) as place, modality, gallery_index from slots join members using (label, modality) where pick = ({_drawn_sql(5, 'label', 'batch', 'm')} + place // mods) % pool""")
+def pk_batches(spark, sf):
+    return splits.pk_batches(samples(spark, sf), p=4, k=6, batches=3, seed=5)
 
 
 # whitening and scalar functions -----------------------------------------------------------
@@ -274,21 +305,21 @@ def sign_codes(spark, sf):
     return rows.select("gallery_index", F.bit_count(F.col("code")[0]).cast("long").alias("ones"), F.array_join(F.slice(V.unpack_bits("code", 64), 1, 8), "").alias("head"))
 
 
-@query(f"with {SAMPLES}, {CODES}, d as (select q.gallery_index as query_id, g.gallery_index, bit_count(xor(q.code, g.code)) as distance from codes q, codes g where q.place % 10 < 3 and g.place % 10 >= 3) select * from (select *, row_number() over (partition by query_id order by distance, gallery_index) - 1 as rank from d) where rank < 10")
+@query(f"with {SAMPLES}, {CODES}, d as (select q.gallery_index as query_id, g.gallery_index, bit_count(xor(q.code, g.code)) as distance from codes q, codes g where q.gallery_index % 100 = 0) select * from (select *, row_number() over (partition by query_id order by distance, gallery_index) - 1 as rank from d) where rank < 10")
 def hamming_topk(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     return hashing.hamming_topk(_codes(q), _codes(g), K)
 
 
-@query(f"with {SAMPLES}, {CODES} select q.gallery_index as query_id, g.gallery_index, bit_count(xor(q.code, g.code)) as distance from codes q, codes g where q.place % 10 < 3 and g.place % 10 >= 3 and bit_count(xor(q.code, g.code)) <= 11")
+@query(f"with {SAMPLES}, {CODES} select q.gallery_index as query_id, g.gallery_index, bit_count(xor(q.code, g.code)) as distance from codes q, codes g where q.gallery_index % 100 = 0 and bit_count(xor(q.code, g.code)) <= 11")
 def hamming_within(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     return hashing.hamming_within(_codes(q), _codes(g), radius=11)
 
 
-@query(f"with {SAMPLES}, {CODES}, d as (select q.gallery_index as query_id, g.gallery_index, bit_count(xor(q.code, g.code)) as distance from codes q, codes g where q.place % 10 < 3 and g.place % 10 >= 3) select * from (select *, row_number() over (partition by query_id order by distance, gallery_index) - 1 as rank from d) where rank < 10")
+@query(f"with {SAMPLES}, {CODES}, d as (select q.gallery_index as query_id, g.gallery_index, bit_count(xor(q.code, g.code)) as distance from codes q, codes g where q.gallery_index % 100 = 0) select * from (select *, row_number() over (partition by query_id order by distance, gallery_index) - 1 as rank from d) where rank < 10")
 def binary_index_search(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     return hashing.binary_search(_codes(q), _codes(g), K)
 
 
@@ -303,15 +334,15 @@ def itq_codes(spark, sf):
 POOL = 30
 
 
-@query(f"with {SPLIT}, {scored()}, {top(POOL)}, {top(K).replace('hits as', 'best as').replace('from scored', 'from hits').replace('select *,', 'select * exclude (rank),')} select {HIT} from best")
+@query(f"with {PROBE}, {scored()}, {top(POOL)}, {top(K).replace('hits as', 'best as').replace('from scored', 'from hits').replace('select *,', 'select * exclude (rank),')} select {HIT} from best")
 def exact_refine(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     return rerank.exact_refine(q, g, search.search(q, g, POOL), K)
 
 
 def _expanded(alpha: float, n: int) -> str:
     weight = f"power(least(greatest(list_inner_product(q.u, g.u), 0), 1), {alpha})" if alpha else "1"
-    return f"""with {SPLIT}, {scored()}, {top(n)},
+    return f"""with {PROBE}, {scored()}, {top(n)},
 w as (select h.query_id, {weight} as w, g.u from hits h join gallery g on g.gallery_index = h.gallery_index join queries q on q.query_id = h.query_id),
 long as (select query_id, w * unnest(u) as x, generate_subscripts(u, 1) as k from w union all select query_id, unnest(u), generate_subscripts(u, 1) from queries),
 summed as (select query_id, k, sum(x) as x from long group by all), n as (select query_id, sqrt(sum(x * x)) as s from summed group by all)
@@ -324,42 +355,65 @@ def _exploded(df):
 
 @query(_expanded(3, 5))
 def alpha_expansion(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     return _exploded(rerank.alpha_expansion(q, g, search.search(q, g, 5), alpha=3))
 
 
 @query(_expanded(0, 5))
 def average_expansion(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     return _exploded(rerank.average_expansion(q, g, search.search(q, g, 5)))
 
 
 @query()
 def k_reciprocal(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     return rerank.k_reciprocal(q, g, search.search(q, g, POOL), K)
 
 
 @query()
 def search_and_rerank(spark, sf):
-    return rerank.search_with_rerank(*split(spark, sf), K, pool=40, method="kreciprocal")
+    return rerank.search_with_rerank(*probe(spark, sf), K, pool=40, method="kreciprocal")
 
 
 @query()
 def ivf_search(spark, sf):
-    q, g = split(spark, sf)
+    q, g = probe(spark, sf)
     index = ann.build(g, cells=16)
     return ann.search(q, index, K, ann.enough_probes(q, index, K, least=8))
 
 
-@query(f"with {SPLIT}, {scored()}, {top(K)}, other as (select *, row_number() over (partition by query_id order by gallery_index) - 1 as r2 from hits) select query_id, gallery_index, round(1.0 / (60 + rank) + 1.0 / (60 + r2), 9) as fused from other")
+@query("select true as enough")
+def ivf_recall(spark, sf):
+    """Whether the cells of ``ivf_search`` find 0.9 of the exact hits."""
+    return ann.recall(ivf_search(spark, sf), topk_cosine(spark, sf)).select((F.col("recall") >= 0.9).alias("enough"))
+
+
+@query(f"with {PROBE}, {scored()}, {top(K)} select {HIT} from hits")
+def ivf_all_probes(spark, sf):
+    q, g = probe(spark, sf)
+    return ann.search(q, ann.build(g, cells=16), K, probes=16)
+
+
+@query(f"with {PROBE}, {scored("g.modality = 'sar' and q.location_id <> g.location_id")}, {top(K)} select {HIT} from hits")
+def ivf_with_filters(spark, sf):
+    q, g = probe(spark, sf)
+    return ann.search(q, ann.build(g, cells=16), K, probes=16, gallery_modality="sar", same_location=True)
+
+
+@query(f"with {PROBE}, {scored()}, {top(K)}, other as (select *, row_number() over (partition by query_id order by gallery_index) - 1 as r2 from hits) select query_id, gallery_index, round(1.0 / (60 + rank) + 1.0 / (60 + r2), 9) as fused from other")
 def fused_ranks(spark, sf):
-    hits = search.search(*split(spark, sf), K)
+    hits = search.search(*probe(spark, sf), K)
     other = search.ranked(hits.select("query_id", "gallery_index", (-F.col("gallery_index")).cast("double").alias("score")), K, ["query_id"])
     return rerank.fuse([hits, other]).withColumn("fused", F.round("fused", 9))
 
 
-@query()
+@query(f"""with {HELD_IN}, {RQ}, {scored(LOO_PLACE)}, {top(18)},
+ranked as (select query_id, rank + 1 as rank, label = query_label and query_label >= 0 as rel from hits),
+judged as (select *, sum(cast(rel as int)) over (partition by query_id order by rank) as cum from ranked),
+totals as (select query_id, sum(total_relevant) as total_relevant from rq group by query_id),
+per_query as (select r.query_id, r.total_relevant, {_metric_sql(KS, deepest=10)} from totals r left join judged j on j.query_id = r.query_id group by r.query_id, r.total_relevant)
+select count(*) as n_queries, {', '.join(f'round(avg({n}), 6) as mean_{n}' for n in NAMES)} from per_query""")
 def mixed_gallery_cell(spark, sf):
     q, g = held_in(spark, sf)
     hits = search.search(q, g, 18, leave_one_out=True, same_location=True).withColumn("rank", F.col("rank") + 1).join(g.select("gallery_index", "label"), "gallery_index")

@@ -43,12 +43,12 @@ def patch_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", tables.patch_key(name, ["s1"]).alias("key"))
 
 
-@query("select d.doc_id, d.n_chars, coalesce(l.quality, -1) as quality from documents d join (select doc_id from documents where lang = 'en') e using (doc_id) left join labels l using (doc_id) order by doc_id limit 500")
+@query("select d.doc_id, d.n_chars, coalesce(l.quality, -1) as quality from documents d join (select doc_id from documents where lang = 'en') e using (doc_id) left join labels l using (doc_id)")
 def paired_patches(spark, sf):
     docs = table(spark, sf, "documents")
     as_patch = lambda df, *cols: df.select(F.lit("r").alias("roi"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"), *cols)
     cover = as_patch(table(spark, sf, "labels"), F.col("quality"))
-    out = tables.paired_patches(as_patch(docs, "doc_id", "n_chars"), as_patch(docs.where("lang = 'en'")), cover, 500)
+    out = tables.paired_patches(as_patch(docs, "doc_id", "n_chars"), as_patch(docs.where("lang = 'en'")), cover)
     return out.select("doc_id", "n_chars", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
@@ -70,7 +70,3 @@ def latency_percentiles(spark, sf):
 def eligible_classes(spark, sf):
     return splits.eligible_classes(samples(spark, sf))
 
-
-@query()
-def pk_batches(spark, sf):
-    return splits.pk_batches(samples(spark, sf), p=4, k=6, batches=3, seed=5)

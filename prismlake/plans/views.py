@@ -28,15 +28,23 @@ def held_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return as_queries(rows.where(is_query())), rows
 
 
+def probe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, gallery): every row whose number is divisible by 100, against all rows."""
+    rows = samples(spark, sf_dir)
+    return as_queries(rows.where("gallery_index % 100 = 0")), rows
+
+
 #: Common table expressions for DuckDB.
-SAMPLES = """
+BASE = """
 samples as (
   select gallery_index, cast(gallery_index as varchar) as id, label, modality, cast(place as varchar) as location_id, place,
     list_transform(e, lambda x: x / greatest(sqrt(list_inner_product(e, e)), 1e-12)) as u, e
   from (select vec_id as gallery_index, embedding::double[] as e, label, vec_id // 3 as place,
-    case vec_id % 3 when 0 then 'optical_rgb' when 1 then 'multispectral' else 'sar' end as modality from embeddings)),
-queries as (select gallery_index as query_id, * exclude (gallery_index) from samples where place % 10 < 3)"""
+    case vec_id % 3 when 0 then 'optical_rgb' when 1 then 'multispectral' else 'sar' end as modality from embeddings))"""
+_QUERIES = ",\nqueries as (select gallery_index as query_id, * exclude (gallery_index) from samples where "
+SAMPLES = BASE + _QUERIES + "place % 10 < 3)"
 SPLIT = SAMPLES + ",\ngallery as (select * from samples where place % 10 >= 3)"
+PROBE = BASE + _QUERIES + "gallery_index % 100 = 0),\ngallery as (select * from samples)"
 HELD_IN = SAMPLES + ",\ngallery as (select * from samples)"
 
 

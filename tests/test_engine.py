@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prismlake import cli
 from prismlake.operators import heads, losses
@@ -40,9 +41,34 @@ def test_triplet_and_multi_similarity(spark):
     assert losses.batch_hard_triplet(alone).first()["loss"] == 0 and losses.multi_similarity(alone).first()["loss"] == 0
 
 
+def test_losses_by_batch(spark):
+    """Each batch has the loss that it has alone, and the forms for tables are those in numpy."""
+    r = np.random.default_rng(5)
+    z, labels, proto = r.standard_normal((24, 5)), r.integers(0, 3, 24), r.standard_normal((3, 2, 5))
+    rows = [(i // 12, i, z[i].tolist(), int(labels[i]), "sar" if i % 2 else "dem") for i in range(24)]
+    df = spark.createDataFrame(rows, "batch int, row int, embedding array<double>, label int, modality string")
+    of = spark.createDataFrame([(c, proto[c, k].tolist()) for c in range(3) for k in range(2)], "label int, embedding array<double>")
+    forms = [
+        (losses.smooth_average_precision, lambda s: losses.smooth_ap(z[s], labels[s])),
+        (lambda d: losses.sub_center_arcface(d, of), lambda s: losses.arcface(z[s], labels[s], proto)),
+        (losses.multi_similarity, None), (losses.batch_hard_triplet, None),
+        (lambda d: losses.symmetric_infonce(d, d, 1e-3), lambda s: losses.np_infonce(z[s], z[s], 1e-3)),
+    ]
+    for form, plain in forms:
+        got = {x["batch"]: x["loss"] for x in form(df).collect()}
+        for b in (0, 1):
+            alone = form(df.where(f"batch = {b}").drop("batch")).first()["loss"]
+            assert got[b] == pytest.approx(alone, abs=1e-9) and np.isfinite(alone)
+            assert plain is None or alone == pytest.approx(plain(np.arange(12 * b, 12 * b + 12)), abs=1e-6)
+    with pytest.raises(ValueError):
+        losses.batch_hard_triplet(df.limit(1).select("*", F.explode(F.sequence(F.lit(0), F.lit(losses.MAX_BATCH))).alias("k")).drop("k"))
+
+
 def test_numpy_losses():
-    z, labels = np.eye(6)[[0, 0, 1, 1, 2, 2]], np.array([0, 0, 1, 1, 2, 2])
-    assert losses.smooth_ap(z, labels) < 1e-3 < losses.smooth_ap(z, np.array([0, 1, 2, 0, 1, 2]))
+    z, labels = np.eye(6, 7)[[0, 0, 1, 1, 2, 2]], np.array([0, 0, 1, 1, 2, 2])
+    # the anchor counts: at rank 1.5 of all, as a positive is as similar as the anchor itself
+    assert losses.smooth_ap(z, labels) == pytest.approx(1 - 1 / 1.5, abs=1e-6) and losses.smooth_ap(z, np.array([0, 1, 2, 0, 1, 2])) > 0.5
+    assert losses.smooth_ap(z @ z.T, labels) == pytest.approx(losses.smooth_ap(z, labels))
     protos = np.eye(6)[:3, None, :].repeat(2, 1)
     assert losses.arcface(z, labels, protos) < losses.arcface(z, labels[::-1], protos)
     assert losses.combined(None, 1.0, 1.0) == 1.5 and losses.combined(1.0, 0.0, 0.0) == 1.5

@@ -65,9 +65,8 @@ def test_single_changes():
     x = np.stack([np.full((6, 6), 1.0), np.full((6, 6), 2.0)])
     out = augment.drop_polarisation(x, r)
     assert (out[0] == out[1]).all()
-    assert (augment.drop_bands(np.ones((5, 2, 2)), r, 1.0).sum((1, 2)) > 0).sum() == 1
     assert np.allclose(augment.hflip(augment.hflip(x, r), r), x)
-    assert np.allclose(augment.small_rotation(x, r), x) and np.allclose(augment.gaussian_blur(x, r), x)
+    assert np.allclose(augment.small_rotation(x, r), x) and np.allclose(augment.gaussian_blur(x, r), x) and np.allclose(augment.gaussian_blur(x[:, :1], r), x[:, :1])
     gray = augment.grayscale(np.random.default_rng(1).uniform(size=(3, 4, 4)), r)
     assert np.allclose(gray[0], gray[2])
     assert augment.drop_modalities(["a", "b"], r, 1.0, 1) in (["a"], ["b"])
@@ -75,6 +74,51 @@ def test_single_changes():
     assert np.allclose(m, share)
 
 
+def test_masks_and_gains():
+    r = np.random.default_rng(0)
+    x = 1 + r.uniform(size=(13, 8, 8))
+    lost = [np.flatnonzero((augment.drop_bands(x, r) == 0).all((1, 2))) for _ in range(300)]
+    assert {len(b) for b in lost} == {0, 1, 2, 3}
+    for _ in range(100):
+        out = augment.spectral_tube(x, r)
+        gone = np.flatnonzero((out == 0).all((1, 2)))
+        assert 1 <= len(gone) <= 4 and (np.diff(gone) == 1).all() and (out[np.setdiff1d(np.arange(13), gone)] > 0).all()
+        gains = augment.ndvi_jitter(x, r, scale=0.2) / x
+        assert np.allclose(gains, gains[:, :1, :1]) and set(np.flatnonzero(~np.isclose(gains[:, 0, 0], 1))) <= {augment.RED, augment.INFRARED}
+        assert (abs(gains - 1) <= 0.2 + 1e-9).all()
+        out = augment.erase(x, r)
+        hole = out != x
+        assert (hole == hole[:1]).all() and np.allclose(out[hole], np.broadcast_to(x.mean((1, 2), keepdims=True), x.shape)[hole])
+        assert hole[0].any(1).sum() * hole[0].any(0).sum() == hole[0].sum() <= 0.3 * 64
+    both = [augment.ndvi_jitter(x, np.random.default_rng(k)) / x for k in range(50)]
+    assert abs(np.corrcoef([b[augment.RED, 0, 0] for b in both], [b[augment.INFRARED, 0, 0] for b in both])[0, 1]) < 0.5
+    assert (augment.gamma_speckle(x, np.random.default_rng(1), decibels=False) > 0).all()
+    assert np.allclose(10 * np.log10(augment.gamma_speckle(x, np.random.default_rng(1), decibels=False) / x), augment.gamma_speckle(x, np.random.default_rng(1)) - x)
+
+
+def test_crops_and_blur():
+    ramp = np.broadcast_to(np.arange(40.0), (1, 20, 40))
+    for k in range(50):
+        out = augment.random_crop(ramp, np.random.default_rng(k), scale=(0.2, 0.4))
+        assert out.shape == (1, 20, 20) and (np.diff(out[0, 0]) > 0).all() and np.allclose(out, out[:, :1])
+    middle = augment.random_crop(ramp, np.random.default_rng(0), scale=(5.0, 6.0))
+    assert np.allclose(middle[0, 0], np.arange(10.0, 30.0))
+    x = np.random.default_rng(3).uniform(size=(1, 6, 6))
+    out = augment.gaussian_blur(x, np.random.default_rng(4))
+    sigma = np.random.default_rng(4).uniform(0.3, 1.2)
+    n = max(1, round(3 * sigma))
+    w = np.exp(-0.5 * (np.arange(-n, n + 1) / sigma) ** 2)
+    wide = np.pad(x[0], n, mode="reflect")
+    want = np.array([[(wide[i : i + 2 * n + 1, j : j + 2 * n + 1] * np.outer(w, w)).sum() / w.sum() ** 2 for j in range(6)] for i in range(6)])
+    assert np.allclose(out[0], want)
+
+
+@pytest.mark.parametrize("modality", ["sar", "optical_rgb", "multispectral", "dem"])
+def test_no_strength_changes_nothing(modality):
+    x = np.random.default_rng(0).uniform(size=(13, 8, 8)).astype(np.float32)
+    assert (augment.augmentation(modality, "none")(x, augment.seed_of(1, "a")) == x).all()
+
+
 def test_descriptor():
     x = np.random.default_rng(0).uniform(size=(3, 9, 7))
     v = images.descriptor(x)

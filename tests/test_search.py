@@ -125,6 +125,11 @@ def test_hamming_and_multi_index(spark):
     for radius in (0, 4, 20):
         got = {(r["query_id"], r["gallery_index"]) for r in hashing.hamming_within(q, g, radius, tables=8 if radius == 20 else 4).collect()}
         assert got == {(i, int(j)) for i in range(4) for j in np.flatnonzero(d[i] <= radius)}
+    with pytest.MonkeyPatch.context() as patch:  # beyond the size that is broadcast
+        patch.setattr(search, "BROADCAST_BYTES", 0)
+        patch.setattr(search, "BLOCK_ROWS", 3)
+        assert sorted(hashing.hamming_topk(q, g, 6).collect()) == sorted(top.collect())
+    assert hashing.hamming_topk(q.limit(0), g, 6).count() == 0 and hashing.hamming_topk(q, g.limit(0), 6).count() == 0
     both = hashing.binary_search(q, g, 6)
     for i in range(4):
         assert found(both, i) == found(top, i)
@@ -147,6 +152,12 @@ def test_cells_with_every_probe_are_exact(spark):
         assert found(got, q) == best(x, q, 5)
     exact = search.search(queries(g, 5), g, 5)
     assert ann.recall(got, exact).first()["recall"] == 1.0
+    with pytest.MonkeyPatch.context() as patch:  # cells and their queries in parts, centroids in blocks
+        for name, value in (("PART_ROWS", 7), ("PART_QUERIES", 2), ("BLOCK_NUMBERS", 20)):
+            patch.setattr(ann, name, value)
+        again = ann.search(queries(g, 5), ann.build(g, cells=6), 5, probes=6, leave_one_out=True)
+        assert sorted(again.collect()) == sorted(search.search(queries(g, 5), g, 5, leave_one_out=True).collect())
+    assert ann.search(queries(g, 5), ann.build(g.limit(0), cells=6), 5).count() == 0
 
 
 def test_recall_of_cells_as_registered(spark):
@@ -160,7 +171,7 @@ def test_recall_of_the_engines_cells(spark):
     from prismlake.plans.engine import Engine
     from prismlake.sources import store
 
-    g = gallery(spark, unit(1500, 32, 11)).localCheckpoint()
+    g = gallery(spark, unit(1500, 32, 11)).cache()
     engine = Engine(spark, store.Config())
     engine.gallery, engine._cells = g, ann.build(g, cells=1500 // 32)
     q = queries(g, 100)

@@ -48,6 +48,12 @@ def test_pairs(spark):
     assert splits.cross_modal_pairs(df, "optical_rgb", "sar").count() == 24
     used = [i for r in splits.disjoint_pairs(df).collect() for i in (r["a_index"], r["b_index"])]
     assert len(used) == len(set(used)) == 48
+    rows = [(0, "multispectral", "a"), (1, "multispectral", "a"), (2, "optical_rgb", "a"), *[(10 + i, m, "b") for i, m in enumerate("xxyzzzzy")], (30, "sar", "c"), (31, None, "c"), (32, "dem", None)]
+    pairs = splits.disjoint_pairs(spark.createDataFrame(rows, "gallery_index long, modality string, location_id string"))
+    kinds = {i: m for i, m, _ in rows}
+    got = sorted((r["location_id"], r["a_index"], r["b_index"]) for r in pairs.collect())
+    # b in order: x 10 11, y 12 17, z 13 14 15 16; the x take the y, then the z wait for nobody
+    assert got == [("a", 0, 2), ("b", 10, 12), ("b", 11, 17)] and all(kinds[a] != kinds[b] for _, a, b in got)
     no_place = df.withColumn("location_id", F.lit(None).cast("string"))
     assert splits.cross_modal_pairs(no_place, "optical_rgb", "sar").count() == 0 and splits.disjoint_pairs(no_place).count() == 0
     assert splits.by_location(df).count() == 24
