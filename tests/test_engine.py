@@ -65,10 +65,11 @@ def test_losses_by_batch(spark):
 
 
 def test_numpy_losses():
-    z, labels = np.eye(6, 7)[[0, 0, 1, 1, 2, 2]], np.array([0, 0, 1, 1, 2, 2])
-    # the anchor counts: at rank 1.5 of all, as a positive is as similar as the anchor itself
-    assert losses.smooth_ap(z, labels) == pytest.approx(1 - 1 / 1.5, abs=1e-6) and losses.smooth_ap(z, np.array([0, 1, 2, 0, 1, 2])) > 0.5
-    assert losses.smooth_ap(z @ z.T, labels) == pytest.approx(losses.smooth_ap(z, labels))
+    z, labels = np.eye(6)[[0, 0, 1, 1, 2, 2]], np.array([0, 0, 1, 1, 2, 2])
+    wide = np.pad(z, [(0, 0), (0, 1)])  # not square, so embeddings
+    # the anchor counts: a positive as similar as the anchor itself stands at rank 1.5 of all
+    assert losses.smooth_ap(wide, labels) == pytest.approx(1 - 1 / 1.5, abs=1e-6) and losses.smooth_ap(wide, np.array([0, 1, 2, 0, 1, 2])) > 0.5
+    assert losses.smooth_ap(z @ z.T, labels) == pytest.approx(losses.smooth_ap(wide, labels))
     protos = np.eye(6)[:3, None, :].repeat(2, 1)
     assert losses.arcface(z, labels, protos) < losses.arcface(z, labels[::-1], protos)
     assert losses.combined(None, 1.0, 1.0) == 1.5 and losses.combined(1.0, 0.0, 0.0) == 1.5
