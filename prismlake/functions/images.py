@@ -106,13 +106,13 @@ def box_mean(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def despeckle(x: np.ndarray, size: int = 7) -> np.ndarray:
-    """Lee filter: towards the local mean where the local variance is no more than noise."""
+    """Lee filter: towards the local mean where the local variance is no more than noise. Doubles stay doubles."""
     size = max(3, size) | 1
     mean = box_mean(x, size)
     var = np.maximum(box_mean(x.astype(np.float64) ** 2, size) - mean**2, 0)
     noise = np.clip((x.std((1, 2)) / (np.abs(x).mean((1, 2)) + EPS)) ** 2, 1e-3, 1.0)[:, None, None]
     k = np.clip((var - mean**2 * noise) / (var + EPS), 0, 1)
-    return (mean + k * (x - mean)).astype(np.float32)
+    return (mean + k * (x - mean)).astype(np.float64 if x.dtype == np.float64 else np.float32)
 
 
 def _standard(x: np.ndarray, mean, std) -> np.ndarray:

@@ -78,7 +78,12 @@ def modality_channels(spark, sf):
     return model.modality_table(spark)
 
 
-@query()
+@query("""select modality, band, name, mean, std, clip_lo, clip_hi from (values
+  ('optical_rgb', 0, 'R', 0.485, 0.229, null, null), ('optical_rgb', 1, 'G', 0.456, 0.224, null, null), ('optical_rgb', 2, 'B', 0.406, 0.225, null, null),
+  ('multispectral', 0, 'B1', 0.13, 0.045, null, null), ('multispectral', 1, 'B2', 0.11, 0.05, null, null), ('multispectral', 2, 'B3', 0.1, 0.055, null, null), ('multispectral', 3, 'B4', 0.095, 0.07, null, null),
+  ('multispectral', 4, 'B5', 0.11, 0.07, null, null), ('multispectral', 5, 'B6', 0.16, 0.08, null, null), ('multispectral', 6, 'B7', 0.185, 0.09, null, null), ('multispectral', 7, 'B8', 0.195, 0.095, null, null),
+  ('multispectral', 8, 'B8A', 0.205, 0.1, null, null), ('multispectral', 9, 'B9', 0.13, 0.06, null, null), ('multispectral', 10, 'B10', 0.04, 0.03, null, null), ('multispectral', 11, 'B11', 0.155, 0.09, null, null), ('multispectral', 12, 'B12', 0.105, 0.075, null, null),
+  ('sar', 0, 'VV', -11.5::double, 5.0::double, -23.0::double, 0.0::double), ('sar', 1, 'VH', -18.0, 5.0, -28.0, -5.0), ('dem', 0, 'elevation', 500.0, 700.0, null, null)) t(modality, band, name, mean, std, clip_lo, clip_hi)""")
 def band_statistics_dimension(spark, sf):
     return model.band_table(spark)
 
@@ -89,19 +94,46 @@ def preprocessed_images(spark, sf):
     return images.map_images(rows, lambda x, m: images.preprocess(x, m, 8), extra=["modality"])
 
 
-@query()
+def _planes(spark, sf, run, digits: int) -> DataFrame:
+    """gallery_index, band, y, x, v: the pixels of ``run(image, modality)``, computed in doubles."""
+    rows = images.map_images(image_rows(spark, sf).select("gallery_index", "modality", "image"), lambda x, m: run(x.astype("float64"), m).ravel(), extra=["modality"], out="array<double>")
+    out = rows.select("gallery_index", F.posexplode("image").alias("k", "v"))
+    return out.select("gallery_index", F.expr("k div 16").cast("int").alias("band"), F.expr("cast(k % 16 div 4 as bigint)").alias("y"), F.expr("cast(k % 4 as bigint)").alias("x"), (F.round("v", digits) + 0.0).alias("v"))
+
+
+def _planes_sql(third: str) -> str:
+    """The three planes of an image by its modality; ``third`` is the last of a radar image."""
+    return f"""{PIXELS},
+wide as (select vec_id as gallery_index, vec_id % 3 as m, y, x, max(v) filter (band = 0) as b0, max(v) filter (band = 1) as b1, max(v) filter (band = 2) as b2, max(v) filter (band = 3) as b3 from px group by all),
+planes as (
+  select gallery_index, 0 as band, y, x, case m when 1 then b3 else b0 end as v from wide union all
+  select gallery_index, 1, y, x, case m when 1 then b2 else b1 end from wide union all
+  select gallery_index, 2, y, x, case m when 0 then b2 when 1 then b1 else {third} end from wide)"""
+
+
+@query(f"""with {_planes_sql('b0 - b1')}, p as (select gallery_index, band, quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from planes group by all)
+select gallery_index, band, y, x, case when hi > lo then floor(least(greatest((v - lo) / (hi - lo), 0), 1) * 255 + 0.5) else 0.0 end as v from planes join p using (gallery_index, band)""")
 def image_previews(spark, sf):
-    return images.map_images(image_rows(spark, sf), images.preview, extra=["modality"])
+    return _planes(spark, sf, images.preview, 0)
 
 
-@query()
+@query(f"with {_planes_sql(f'b0 / (abs(b1) + {images.EPS!r}::double)')} select gallery_index, band, y, x, round(v, 6) + 0.0 as v from planes")
 def pseudo_rgb_images(spark, sf):
-    return images.map_images(image_rows(spark, sf), images.pseudo_rgb, extra=["modality"])
+    return _planes(spark, sf, images.pseudo_rgb, 6)
 
 
-@query()
+#: The filter pixel by pixel: nine neighbours, of which those beyond the edge are mirrored.
+LEE = f"""with {PIXELS},
+near as (select p.vec_id, p.band, p.y, p.x, p.v, n.v as w from px p, range(-1, 2) dy(i), range(-1, 2) dx(j)
+  join px n on n.vec_id = p.vec_id and n.band = p.band and n.y = 3 - abs(3 - abs(p.y + i)) and n.x = 3 - abs(3 - abs(p.x + j))),
+local as (select vec_id, band, y, x, v, avg(w) as mean, greatest(avg(w * w) - avg(w) ** 2, 0) as var from near group by all),
+noise as (select vec_id, band, least(greatest((stddev_pop(v) / (avg(abs(v)) + {images.EPS!r}::double)) ** 2, 0.001), 1) as noise from px group by all)
+select vec_id as gallery_index, band, y, x, round(mean + least(greatest((var - mean ** 2 * noise) / (var + {images.EPS!r}::double), 0), 1) * (v - mean), 6) + 0.0 as v from local join noise using (vec_id, band)"""
+
+
+@query(LEE)
 def despeckled_images(spark, sf):
-    return images.map_images(image_rows(spark, sf), lambda x: images.despeckle(x, 3))
+    return _planes(spark, sf, lambda x, m: images.despeckle(x, 3), 6)
 
 
 @query()
