@@ -46,6 +46,11 @@ def map_images(df: DataFrame, function, column: str = "image", extra: list[str]
     return df.mapInArrow(run, schema)
 
 
+def precision(x: np.ndarray) -> type:
+    """Doubles stay doubles; all else is computed in floats."""
+    return np.float64 if x.dtype == np.float64 else np.float32
+
+
 def ensure_channels(x: np.ndarray, target: int, pad: float = 0.0) -> np.ndarray:
     """Cut or filled with constant planes to ``target`` channels; 0 keeps all."""
     if target <= 0 or len(x) == target:
@@ -80,20 +85,20 @@ def resize(x: np.ndarray, size: int, how: str = "bilinear") -> np.ndarray:
     if how == "nearest":
         return x[:, (np.arange(size) * h // size)[:, None], (np.arange(size) * w // size)[None, :]]
     if how == "bicubic":
-        return np.einsum("ih,chw,jw->cij", _cubic(h, size), x, _cubic(w, size)).astype(np.float32)
+        return np.einsum("ih,chw,jw->cij", _cubic(h, size), x, _cubic(w, size)).astype(precision(x))
     if how != "bilinear":
         raise ValueError(f"{how!r} is none of nearest, bilinear, bicubic")
     y0, y1, fy = _taps(h, size)
     x0, x1, fx = _taps(w, size)
     rows = x[:, y0] * (1 - fy)[None, :, None] + x[:, y1] * fy[None, :, None]
-    return (rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx).astype(np.float32)
+    return (rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx).astype(precision(x))
 
 
 def to_decibel(x: np.ndarray, is_db: bool | None = None) -> np.ndarray:
     """10 log10, unless the values (more than 5 % below -0.5) are decibels already."""
     if is_db is None:
         is_db = bool((x < -0.5).mean() > 0.05) if x.size else True
-    return x if is_db else (10 * np.log10(np.maximum(x, EPS))).astype(np.float32)
+    return x if is_db else (10 * np.log10(np.maximum(x, EPS))).astype(precision(x))
 
 
 def box_mean(x: np.ndarray, size: int) -> np.ndarray:
@@ -106,18 +111,18 @@ def box_mean(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def despeckle(x: np.ndarray, size: int = 7) -> np.ndarray:
-    """Lee filter: towards the local mean where the local variance is no more than noise. Doubles stay doubles."""
+    """Lee filter: towards the local mean where the local variance is no more than noise."""
     size = max(3, size) | 1
     mean = box_mean(x, size)
     var = np.maximum(box_mean(x.astype(np.float64) ** 2, size) - mean**2, 0)
     noise = np.clip((x.std((1, 2)) / (np.abs(x).mean((1, 2)) + EPS)) ** 2, 1e-3, 1.0)[:, None, None]
     k = np.clip((var - mean**2 * noise) / (var + EPS), 0, 1)
-    return (mean + k * (x - mean)).astype(np.float64 if x.dtype == np.float64 else np.float32)
+    return (mean + k * (x - mean)).astype(precision(x))
 
 
 def _standard(x: np.ndarray, mean, std) -> np.ndarray:
     out = (x - np.asarray(mean)[:, None, None]) / (np.asarray(std)[:, None, None] + EPS)
-    return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0).astype(np.float32)
+    return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0).astype(precision(x))
 
 
 def preprocess(x: np.ndarray, modality: str, size: int = 224, speckle: bool = False, speckle_size: int = 7, is_db: bool | None = None, reflectance: float = 10_000.0) -> np.ndarray:
@@ -125,7 +130,7 @@ def preprocess(x: np.ndarray, modality: str, size: int = 224, speckle: bool = Fa
     modality = check_modality(modality)
     if x.ndim != 3:
         raise ValueError(f"an image has three axes, not {x.ndim}")
-    x = ensure_channels(x.astype(np.float32), MODALITIES[modality] if modality in ("sar", "multispectral", "optical_rgb") else 0)
+    x = ensure_channels(x.astype(precision(x)), MODALITIES[modality] if modality in ("sar", "multispectral", "optical_rgb") else 0)
     if modality == "sar":
         x = to_decibel(x, is_db)
         x = resize(despeckle(x, speckle_size) if speckle else x, size)

@@ -88,17 +88,33 @@ def band_statistics_dimension(spark, sf):
     return model.band_table(spark)
 
 
-@query()
-def preprocessed_images(spark, sf):
-    rows = image_rows(spark, sf)
-    return images.map_images(rows, lambda x, m: images.preprocess(x, m, 8), extra=["modality"])
-
-
-def _planes(spark, sf, run, digits: int) -> DataFrame:
+def _planes(spark, sf, run, digits: int, side: int = 4) -> DataFrame:
     """gallery_index, band, y, x, v: the pixels of ``run(image, modality)``, computed in doubles."""
     rows = images.map_images(image_rows(spark, sf).select("gallery_index", "modality", "image"), lambda x, m: run(x.astype("float64"), m).ravel(), extra=["modality"], out="array<double>")
     out = rows.select("gallery_index", F.posexplode("image").alias("k", "v"))
-    return out.select("gallery_index", F.expr("k div 16").cast("int").alias("band"), F.expr("cast(k % 16 div 4 as bigint)").alias("y"), F.expr("cast(k % 4 as bigint)").alias("x"), (F.round("v", digits) + 0.0).alias("v"))
+    return out.select("gallery_index", F.expr(f"k div {side * side}").cast("int").alias("band"), F.expr(f"cast(k % {side * side} div {side} as bigint)").alias("y"), F.expr(f"cast(k % {side} as bigint)").alias("x"), (F.round("v", digits) + 0.0).alias("v"))
+
+
+#: Channels, decibels, size and units step by step; each pixel of the result mixes four of the image.
+PREPROCESSED = f"""with {PIXELS},
+bands as (select * from (values {", ".join(f"('{m}', {k}, {mean}::double, {std}::double)" for m in ("optical_rgb", "multispectral", "sar") for k, (_, mean, std) in enumerate(model.BAND_STATS[m]))}) t(modality, band, mean, std)),
+chosen as (select i.vec_id, b.modality, b.band, b.mean, b.std, px.y, px.x, px.v from (select vec_id, case vec_id % 3 when 0 then 'optical_rgb' when 1 then 'multispectral' else 'sar' end as modality from embeddings) i
+  join bands b on b.modality = i.modality join px on px.vec_id = i.vec_id and px.band = least(b.band, 3)),
+filled as (select * exclude (v), case when band > 3 then 0.0 else v end as v from chosen),
+radar as (select vec_id, avg(cast(v < -0.5 as int)) > 0.05 as is_db from filled where modality = 'sar' group by vec_id),
+units as (select f.* exclude (v), case when f.modality = 'sar' and not r.is_db then 10 * log10(greatest(v, {images.EPS!r}::double)) else v end as v from filled f left join radar r using (vec_id)),
+taps as (select i, cast(floor(spot) as int) + s as place, case s when 0 then 1 - (spot - floor(spot)) else spot - floor(spot) end as w from (select i, least(greatest((i + 0.5) / 2 - 0.5, 0), 3)::double as spot from range(8) t(i)), range(2) u(s)),
+sized as (select vec_id, modality, band, mean, std, a.i as y, b.i as x, sum(v * a.w * b.w) as v from units join taps a on a.place = units.y join taps b on b.place = units.x group by all),
+peaks as (select vec_id, max(v) as peak from sized group by vec_id),
+scaled as (select sized.* exclude (v), case modality when 'sar' then case band when 0 then least(greatest(v, -23), 0) else least(greatest(v, -28), -5) end
+    when 'multispectral' then case when peak > 1.5 then v / 10000 else v end
+    else least(greatest(case when peak > 1.5 then v / case when peak <= 255.001 then 255 else peak end else v end, 0), 1) end as v from sized join peaks using (vec_id))
+select vec_id as gallery_index, band, y, x, round((v - mean) / (std + {images.EPS!r}::double), 6) + 0.0 as v from scaled"""
+
+
+@query(PREPROCESSED)
+def preprocessed_images(spark, sf):
+    return _planes(spark, sf, lambda x, m: images.preprocess(x, m, 8), 6, side=8)
 
 
 def _planes_sql(third: str) -> str:
