@@ -55,7 +55,7 @@ def reciprocal_order(query: np.ndarray, pool: np.ndarray, k1: int = 20, k2: int
     if m < 2:
         return np.arange(m)
     x = np.concatenate([query[None, :], pool])
-    far = 1.0 - np.clip(x @ x.T, -1.0, 1.0)
+    far = 1.0 - np.clip(np.round(x @ x.T, DIGITS), -1.0, 1.0)
     near = np.argsort(far, axis=1, kind="stable")
     place = np.argsort(near, axis=1, kind="stable")  # place[i, j]: rank of j for i
     k1, k2 = min(k1, m), max(1, min(k2, m + 1))
@@ -80,7 +80,7 @@ def reciprocal_order(query: np.ndarray, pool: np.ndarray, k1: int = 20, k2: int
     low = np.minimum(v[0], v[1:]).sum(1)
     high = np.maximum(v[0], v[1:]).sum(1)
     jaccard = 1.0 - low / np.maximum(high, 1e-12)
-    return np.argsort((1 - weight) * jaccard + weight * far[0, 1:], kind="stable")
+    return np.argsort(np.round((1 - weight) * jaccard + weight * far[0, 1:], 9), kind="stable")
 
 
 def k_reciprocal(queries: DataFrame, gallery: DataFrame, candidates: DataFrame, k: int, k1: int = 20, k2: int = 6, weight: float = 0.3) -> DataFrame:

@@ -365,13 +365,33 @@ def average_expansion(spark, sf):
     return _exploded(rerank.average_expansion(q, g, search.search(q, g, 5)))
 
 
-@query()
+def _reciprocal(pool: int, k1: int = 20, k2: int = 6, weight: float = 0.3) -> str:
+    """Re-ranking as relations: node 0 is the query, node n the hit of rank n - 1."""
+    return f"""with {PROBE}, {scored()}, {top(pool)},
+nodes as (select query_id, 0 as n, -1 as gallery_index, u from queries union all select h.query_id, h.rank + 1, h.gallery_index, g.u from hits h join gallery g on g.gallery_index = h.gallery_index),
+far as (select a.query_id, a.n as i, b.n as j, b.gallery_index, round(list_inner_product(a.u, b.u), 6) as c, 1 - least(greatest(c, -1), 1) as d from nodes a join nodes b on a.query_id = b.query_id),
+placed as (select *, row_number() over (partition by query_id, i order by d, j) - 1 as place from far),
+mutual as (select a.query_id, a.i, a.j, greatest(a.place, b.place) <= {round(k1 / 2) + 1} as tight from placed a join placed b on b.query_id = a.query_id and b.i = a.j and b.j = a.i where a.place <= {k1} and b.place <= {k1}),
+tight as (select query_id, i, j, count(*) over (partition by query_id, i) as size from mutual where tight),
+grown as (select w.query_id, w.i, w.j from mutual w join tight t on t.query_id = w.query_id and t.i = w.j left join mutual o on o.query_id = w.query_id and o.i = w.i and o.j = t.j
+  group by w.query_id, w.i, w.j having 3 * count(o.j) > 2 * any_value(t.size)),
+member as (select query_id, i, j from mutual union select g.query_id, g.i, t.j from grown g join tight t on t.query_id = g.query_id and t.i = g.j),
+weights as (select m.query_id, m.i, m.j, exp(-f.d) / sum(exp(-f.d)) over (partition by m.query_id, m.i) as v from member m join far f using (query_id, i, j)),
+spread as (select p.query_id, p.i, w.j, sum(w.v) / {k2} as v from placed p join weights w on w.query_id = p.query_id and w.i = p.j where p.place < {k2} group by all),
+total as (select query_id, i, sum(v) as v from spread group by all),
+shared as (select b.query_id, b.i, sum(least(a.v, b.v)) as low from spread a join spread b on b.query_id = a.query_id and b.j = a.j where a.i = 0 and b.i > 0 group by all),
+mixed as (select f.query_id, f.j, f.gallery_index, f.c, round({1 - weight} * (1 - coalesce(s.low, 0) / greatest(z.v + t.v - coalesce(s.low, 0), 1e-12)) + {weight} * f.d, 9) as mix
+  from far f join total z on z.query_id = f.query_id and z.i = 0 join total t on t.query_id = f.query_id and t.i = f.j left join shared s on s.query_id = f.query_id and s.i = f.j where f.i = 0 and f.j > 0)
+select query_id, gallery_index, c as score, rank from (select *, row_number() over (partition by query_id order by mix, j) - 1 as rank from mixed) where rank < {K}"""
+
+
+@query(_reciprocal(POOL))
 def k_reciprocal(spark, sf):
     q, g = probe(spark, sf)
     return rerank.k_reciprocal(q, g, search.search(q, g, POOL), K)
 
 
-@query()
+@query(_reciprocal(40))
 def search_and_rerank(spark, sf):
     return rerank.search_with_rerank(*probe(spark, sf), K, pool=40, method="kreciprocal")
 
