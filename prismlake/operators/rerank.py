@@ -13,12 +13,14 @@ from prismlake.operators.search import ranked, search
 METHODS = ("none", "exact", "kreciprocal")
 
 
-def exact_refine(queries: DataFrame, gallery: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """The best k of ``candidates(query_id, gallery_index)`` by exact cosine."""
-    pool = candidates.select("query_id", "gallery_index").where("gallery_index >= 0").distinct()
+def exact_refine(queries: DataFrame, gallery: DataFrame, candidates: DataFrame, k: int, by_modality: bool = False) -> DataFrame:
+    """The best k of ``candidates(query_id, gallery_index)`` by exact cosine; ``by_modality`` of
+    each ``g_modality`` of the candidates."""
+    by = ["query_id", "g_modality"] if by_modality else ["query_id"]
+    pool = candidates.select(*by, "gallery_index").where("gallery_index >= 0").distinct()
     unit = l2_normalize("embedding")  # once per row, not per pair
     pairs = pool.join(queries.select("query_id", unit.alias("_q")), "query_id").join(gallery.select("gallery_index", unit.alias("_g")), "gallery_index")
-    return ranked(pairs.select("query_id", "gallery_index", F.round(dot("_q", "_g"), DIGITS).alias("score")), k, ["query_id"]).select("query_id", "gallery_index", "score", "rank")
+    return ranked(pairs.select(*by, "gallery_index", F.round(dot("_q", "_g"), DIGITS).alias("score")), k, by).select("query_id", "gallery_index", "score", "rank", *by[1:])
 
 
 def alpha_expansion(queries: DataFrame, gallery: DataFrame, hits: DataFrame, alpha: float = 3.0, top: int = 5) -> DataFrame:

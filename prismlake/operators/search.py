@@ -108,10 +108,11 @@ def columns_of(df: DataFrame, key: str, *more: str) -> DataFrame:
     return df.where(F.col("embedding").isNotNull()).select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"), *text, *more)
 
 
-def block_pair(k: int, by_modality: bool, leave_one_out: bool, same_location: bool, excluded: bool = False):
+def block_pair(k: int, by_modality: bool, leave_one_out: bool, same_location: bool, excluded: bool = False, decode=None):
     """The function that scores a block of queries against one of the gallery, as Arrow tables.
 
     ``excluded``: rows of the first table with a value in ``not`` are pairs to leave out.
+    ``decode``: makes the embeddings of a batch of the gallery.
     """
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -126,7 +127,7 @@ def block_pair(k: int, by_modality: bool, leave_one_out: bool, same_location: bo
             return pa.table({"query_id": pa.array([], pa.int64()), "grp": pa.array([], pa.string()), "gallery_index": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         best = _blocks(a, words, k, by_modality, leave_one_out, same_location, lists)
         for batch in b.to_batches(max_chunksize=BLOCK_ROWS):
-            side = _Side(batch, "gallery_index", words)
+            side = _Side(decode(batch) if decode else batch, "gallery_index", words)
             for part in best:
                 part.add(side)
         return pa.Table.from_batches([batch for part in best for batch in part.batches(words)])
@@ -211,7 +212,7 @@ def choose_strategy(n: int, dim: int, kind: str = "auto") -> dict:
     """How to search a gallery of ``n`` vectors: exact up to 200 000, by cells beyond.
 
     ``auto`` follows the size; ``flat`` is exact always; ``ivf`` searches cells always. ``code``
-    names the vector code to keep beside each cell; its width divides the dimension.
+    names the code to keep beside each cell: product quantization of at most so many bytes.
     """
     kind = (kind or "auto").lower()
     if kind in ("flat", "bruteforce", "brute_force"):
@@ -221,4 +222,4 @@ def choose_strategy(n: int, dim: int, kind: str = "auto") -> dict:
         return {"method": "exact", "cells": 0, "code": None}
     if kind == "auto" and n <= 200_000:
         return {"method": "exact_block", "cells": 0, "code": None}
-    return {"method": "ivf", "cells": 16_384 if n <= 750_000 else 65_536, "code": f"sign{width}"}
+    return {"method": "ivf", "cells": 16_384 if n <= 750_000 else 65_536, "code": f"pq{width}"}

@@ -22,7 +22,7 @@ class Engine:
         self.gallery: DataFrame | None = None
         self.strategy: dict = {}
         self._cells: ann.CellIndex | None = None
-        self._probes: dict[int, int] = {}
+        self._probes: dict[int, tuple[int, int | None]] = {}  # by k: probes, and the pool if there are codes
 
     def encode(self, samples: DataFrame, whiten: bool = True) -> DataFrame:
         """Samples with unit embeddings: extractor, head, then whitener."""
@@ -43,7 +43,7 @@ class Engine:
         self.strategy = choose_strategy(size["n"], size["d"] or 0, self.config.search.strategy)
         if self.strategy["method"] == "ivf":
             self._probes = {}
-            self._cells = ann.build(self.gallery, min(self.strategy["cells"], max(1, size["n"] // 32)))
+            self._cells = ann.with_codes(ann.build(self.gallery, min(self.strategy["cells"], max(1, size["n"] // 32))), int(self.strategy["code"].removeprefix("pq")))
 
     def query(self, queries: DataFrame, k: int, encoded: bool = False, method: str | None = None, **filters) -> DataFrame:
         """Hits of samples (or, ``encoded``, of embeddings) with the gallery's columns."""
@@ -53,8 +53,10 @@ class Engine:
         method = method or self.config.search.rerank
         if self._cells is not None and method == "none" and "excluded" not in filters:
             if k not in self._probes:  # measured by the first queries
-                self._probes[k] = ann.enough_probes(q, self._cells, k, self.config.search.probes)
-            hits = ann.search(q, self._cells, k, self._probes[k], **filters)
+                probes = ann.enough_probes(q, self._cells, k, self.config.search.probes)
+                self._probes[k] = probes, None if self._cells.coded is None else ann.enough_pool(q, self._cells, k, probes)
+            probes, pool = self._probes[k]
+            hits = ann.search(q, self._cells, k, probes, pool=pool, **filters)
         else:
             hits = rerank.search_with_rerank(q, self.gallery, k, self.config.search.pool, method, **filters)
         return with_hit_columns(hits, self.gallery)

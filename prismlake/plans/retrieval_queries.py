@@ -441,6 +441,16 @@ def ivf_recall(spark, sf):
     return ann.recall(ivf_search(spark, sf), topk_cosine(spark, sf)).select((F.col("recall") >= 0.9).alias("enough"))
 
 
+@query("select true as enough")
+def ivf_codes_recall(spark, sf):
+    """Whether cells with codes of 16 bytes, a 16th of a vector of 64 floats, find 0.9 of the exact hits."""
+    q, g = probe(spark, sf)
+    index = ann.with_codes(ann.build(g, cells=16), parts=16)
+    probes = ann.enough_probes(q, index, K, least=8)
+    found = ann.search(q, index, K, probes, pool=ann.enough_pool(q, index, K, probes))
+    return ann.recall(found, topk_cosine(spark, sf)).select((F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(f"with {PROBE}, {scored()}, {top(K)} select {HIT} from hits")
 def ivf_all_probes(spark, sf):
     q, g = probe(spark, sf)

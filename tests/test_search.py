@@ -94,7 +94,7 @@ def test_edge_cases(spark):
 def test_strategy_by_size():
     assert search.choose_strategy(5_000, 256)["method"] == "exact"
     assert search.choose_strategy(50_000, 256)["method"] == "exact_block"
-    assert search.choose_strategy(500_000, 256) == {"method": "ivf", "cells": 16384, "code": "sign128"}
+    assert search.choose_strategy(500_000, 256) == {"method": "ivf", "cells": 16384, "code": "pq128"}
     assert search.choose_strategy(5_000_000, 64, "flat")["method"] == "exact"
 
 
@@ -160,6 +160,29 @@ def test_cells_with_every_probe_are_exact(spark):
     assert ann.search(queries(g, 5), ann.build(g.limit(0), cells=6), 5).count() == 0
 
 
+def test_codes_of_cells(spark):
+    x = unit(600, 16, 3)
+    book = ann.fit_codebook(x, 4)
+    assert np.allclose(book.rotation @ book.rotation.T, np.eye(16), atol=1e-9)
+    codes = book.encode(x)
+    assert codes.shape == (600, 4) and codes.dtype == np.uint8
+    plain = ann.Codebook(np.eye(16), np.stack(np.split(x[:256], 4, axis=1)))
+    assert ((x - book.decode(codes)) ** 2).sum() < 0.8 * ((x - plain.decode(plain.encode(x))) ** 2).sum()
+
+    g = gallery(spark, x)
+    index = ann.with_codes(ann.build(g, cells=6), parts=5)  # 4 parts, since 5 don't divide 16
+    assert {len(r["code"]) for r in index.coded.select("code").collect()} == {4} and index.coded.count() == 600
+    q, exact = queries(g, 20), search.search(queries(g, 20), g, 5)
+    assert sorted(ann.search(q, index, 5, 6, pool=600).collect()) == sorted(exact.collect())
+    kinds = dict(by_modality=True, leave_one_out=True, same_location=True)
+    got, want = ann.search(q, index, 5, 6, pool=600, **kinds), search.search(q, g, 5, **kinds)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    pool = ann.enough_pool(q, index, 5, 6)
+    assert 10 <= pool < 600 and ann.recall(ann.search(q, index, 5, 6, pool=pool), exact).first()["recall"] >= 0.95
+    empty = ann.with_codes(ann.build(g.limit(0), cells=6))
+    assert empty.coded is None and ann.search(q, empty, 5, pool=10).count() == 0
+
+
 def test_recall_of_cells_as_registered(spark):
     from prismlake.plans import registry
 
