@@ -57,7 +57,7 @@ def train(args, spark) -> int:
     samples, provenance = plans.load_samples(spark, _config(args.config))
     model = heads.train_heads(samples, steps=args.steps)
     with open(args.out, "w") as f:
-        json.dump({"first": {m: w.tolist() for m, w in model.first.items()}, "shared": model.shared.tolist()}, f)
+        json.dump(model.to_dict(), f)
     print(json.dumps(provenance))
     return 0
 

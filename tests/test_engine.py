@@ -10,6 +10,7 @@ from prismlake import cli
 from prismlake.operators import heads, losses
 from prismlake.plans import engine as plans
 from prismlake.sources import store, synthetic
+from prismlake.sources.samples import prepare_gallery
 from prismlake.streaming.serve import serve
 
 
@@ -99,6 +100,56 @@ def test_gradient_of_heads():
             assert g[key][at] == pytest.approx((up - down) / (2 * eps), abs=1e-5)
 
 
+def test_gradient_of_biases_own_layers_and_dropout():
+    r = np.random.default_rng(1)
+    h = heads.Heads.random(["a", "b"], 5, 4, 3, share=False)
+    assert h.shared is None and ("last", "b") in h.weights
+    x, kinds, labels = r.standard_normal((8, 5)), np.array(["a", "b"] * 4, object), np.array([0, 0, 1, 1, 0, 1, 2, 2])
+    keep = (r.random((8, 4)) >= 0.3) / 0.7
+    grad, _ = heads._contrastive_step(h, x, kinds, labels, 0.5, keep)
+    assert set(grad) == set(h.weights)
+    for key, w in h.weights.items():
+        at, eps = (1,) * w.ndim, 1e-6
+        old = w[at]
+        w[at] = old + eps
+        up = heads._contrastive_step(h, x, kinds, labels, 0.5, keep)[1]
+        w[at] = old - eps
+        down = heads._contrastive_step(h, x, kinds, labels, 0.5, keep)[1]
+        w[at] = old
+        assert grad[key][at] == pytest.approx((up - down) / (2 * eps), abs=1e-5)
+    again = heads.Heads.from_dict(h.to_dict())
+    assert np.array_equal(again.apply(x, "b"), h.apply(x, "b"))
+
+
+def test_training_freezes_validates_and_goes_on(spark):
+    df = synthetic.embeddings(spark, 3, 6, dim=8, seed=0, shift=1.0)
+    df = prepare_gallery(df).cache()
+    q = df.withColumnRenamed("gallery_index", "query_id")
+    history: list = []
+    model = heads.train_heads(df, d_out=4, hidden=8, steps=30, every=20, history=history, validate=(q, df))
+    assert [r["step"] for r in history] == [20, 30] and history[-1]["loss"] < heads._contrastive_step(*_first_step(df))[1]
+    assert 0 < history[-1]["cross"]["mean_f1_at_5"] <= 1
+    more = heads.train_heads(df, steps=3, start=model, frozen=("first", "first_bias"))
+    assert all(np.array_equal(more.weights[k], w) == k[0].startswith("first") for k, w in model.weights.items())
+    with pytest.raises(ValueError):
+        heads.train_heads(df, steps=1, start=model, frozen=("middle",))
+
+
+def _first_step(df):
+    rows = df.select("modality", "label", "embedding").toPandas()
+    kinds = rows["modality"].to_numpy(object)
+    return heads.Heads.random(sorted(set(kinds)), 8, 8, 4), np.array(rows["embedding"].tolist()), kinds, rows["label"].to_numpy(), 0.07
+
+
+def test_low_rank_layer():
+    r = np.random.default_rng(0)
+    layer = heads.LowRank(r.standard_normal((3, 5)), r.standard_normal(3), r=2, alpha=4.0)
+    x = r.standard_normal((6, 5))
+    assert np.allclose(layer.apply(x), x @ layer.weight.T + layer.bias)
+    layer.b = r.standard_normal((3, 2))
+    assert np.allclose(layer.apply(x), x @ layer.merged().T + layer.bias)
+
+
 def test_low_rank_and_unknown_modality():
     w = heads.low_rank_merge(np.zeros((3, 3)), np.ones((2, 3)), np.ones((3, 2)), 4.0)
     assert np.allclose(w, 4)
