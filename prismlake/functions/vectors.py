@@ -64,6 +64,12 @@ def concat_renorm(vectors: list[Column | str], weights: list[float] | None = Non
     return l2_normalize(F.concat(*[scaled(v, w) for v, w in zip(vectors, weights)]))
 
 
+def rounded(v: Column | str, digits: int = DIGITS) -> Column:
+    """Each component rounded; one that becomes zero keeps its sign, as IEEE and SQL engines have it
+    (Spark's ``round`` goes through decimals, which have no negative zero)."""
+    return F.transform(doubles(v), lambda x: F.when(F.abs(x) < 0.5 / 10**digits, x * 0.0).otherwise(F.round(x, digits)))
+
+
 def min_max(v: Column | str) -> Column:
     """Each component moved to [0, 1] over the vector; a constant vector becomes zeros."""
     named = let(doubles(v), lambda d: F.struct(d.alias("v"), F.array_min(d).alias("low"), F.array_max(d).alias("high")))

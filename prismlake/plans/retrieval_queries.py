@@ -273,7 +273,7 @@ def l2_scores(spark, sf):
 
 @query(f"with {SAMPLES}, w as (select gallery_index, list_concat([x * 0.75 for x in u], [x * 0.25 for x in u]) as v from samples) select gallery_index, [round(x / sqrt(list_inner_product(v, v)), 6) for x in v] as v from w")
 def concatenated_vectors(spark, sf):
-    return samples(spark, sf).select("gallery_index", F.transform(V.concat_renorm(["embedding", "embedding"], [0.75, 0.25]), lambda x: F.round(x, 6)).alias("v"))
+    return samples(spark, sf).select("gallery_index", V.rounded(V.concat_renorm(["embedding", "embedding"], [0.75, 0.25])).alias("v"))
 
 
 def _product(a: str, b: str) -> str:

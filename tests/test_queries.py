@@ -36,6 +36,19 @@ def test_against_sql(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+@pytest.mark.parametrize("name", ["concatenated_vectors"])
+def test_zeros_keep_their_sign(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    small = [[1.0, -1e-7, 1e-7, 0.0], [0.6, -0.8, -2e-7, -0.0], [-3e-7, 0.0, 0.0, 1.0], [0.0, 0.0, 0.0, 0.0], [2.0, -5e-7, -1e-6, -4e-6], [1.0, 1.0, -9e-7, -2e-7]]
+    rows = [(k, v, k % 2) for k, v in enumerate(small) if name == "unit_vectors" or any(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.ORACLES[name]).fetchall()
+    assert "-0.0" in repr(want)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
