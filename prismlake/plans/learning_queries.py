@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prismlake.functions.vectors import rounded
 from prismlake.operators import evaluation, heads, losses, whitening
 from prismlake.plans.views import SAMPLES, held_in, samples
 
@@ -99,4 +100,4 @@ def projected_headline(spark, sf):
 
 @query(f"with {SAMPLES}, p as (select a.location_id, list_concat(a.u, b.u) as v from samples a join samples b on a.location_id = b.location_id where a.modality = 'sar' and b.modality = 'optical_rgb') select location_id, [round(x / sqrt(list_inner_product(v, v)), 6) for x in v] as embedding from p")
 def joint_embeddings(spark, sf):
-    return heads.joint(samples(spark, sf)).select("location_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return heads.joint(samples(spark, sf)).select("location_id", rounded("embedding").alias("embedding"))
