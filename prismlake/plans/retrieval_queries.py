@@ -255,7 +255,7 @@ def pk_batches(spark, sf):
 
 @query(f"with {SAMPLES} select gallery_index, [round(x, 6) for x in u] as u from samples")
 def unit_vectors(spark, sf):
-    return samples(spark, sf).select("gallery_index", F.transform("embedding", lambda x: F.round(x, 6)).alias("u"))
+    return samples(spark, sf).select("gallery_index", V.rounded("embedding").alias("u"))
 
 
 @query(f"with {SAMPLES}, long as (select gallery_index, modality, unnest(u) as x, generate_subscripts(u, 1) as k from samples), means as (select modality, k, avg(x) as m from long group by all), c as (select gallery_index, k, x - m as x from long join means using (modality, k)), n as (select gallery_index, sqrt(sum(x * x)) as s from c group by all) select gallery_index, cast(k - 1 as int) as k, round(x / greatest(s, 1e-12), 6) as x from c join n using (gallery_index)")

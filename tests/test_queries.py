@@ -36,7 +36,7 @@ def test_against_sql(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name", ["concatenated_vectors", "joint_embeddings"])
+@pytest.mark.parametrize("name", ["unit_vectors", "concatenated_vectors", "joint_embeddings"])
 def test_zeros_keep_their_sign(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     small = [[1.0, -1e-7, 1e-7, 0.0], [0.6, -0.8, -2e-7, -0.0], [-3e-7, 0.0, 0.0, 1.0], [0.0, 0.0, 0.0, 0.0], [2.0, -5e-7, -1e-6, -4e-6], [1.0, 1.0, -9e-7, -2e-7]]
