@@ -6,8 +6,8 @@ a linear hinge-loss model is fitted by dual coordinate descent. N-grams are thos
 (3 and 5) and those of signs that say whether a word repeats the word before it.
 
 The fit takes at most ``sample`` labelled texts, those with the least hash of doc_id (a
-documented bound: they and the model go through the driver). A model is one array of
-``2**bits`` floats. Scoring covers every row and every whole text.
+documented bound: one task holds their n-grams). Only the model goes through the driver, two
+arrays of ``2**bits`` floats. Scoring covers every row and every whole text.
 
 Nulls: a null text is the empty text, which has no n-grams and so the score of the intercept;
 labels that are null are not learned from; a null doc_id is never held out. Repeated rows each
@@ -67,6 +67,13 @@ class Model:
         self.weight, self.square = weight.astype(np.float32), (ratio**2).astype(np.float32)
         self.intercept, self.slope, self.shift = intercept, slope, shift
 
+    @staticmethod
+    def stored(weight: bytes, square: bytes, intercept: float, slope: float, shift: float) -> "Model":
+        """The model whose arrays have these bytes."""
+        m = Model(np.frombuffer(weight, np.float32), np.zeros(0), intercept, slope, shift)
+        m.square = np.frombuffer(square, np.float32)
+        return m
+
     def margin(self, places: np.ndarray) -> float:
         length = float(np.sqrt(self.square[places].sum(dtype=np.float64)))
         return self.intercept + (float(self.weight[places].sum(dtype=np.float64)) / length if length else 0.0)
@@ -163,10 +170,21 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
     # ``sample`` rows of two numbers: broadcast. One text for each, however many rows have the id
     met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     texts = met.selectExpr("cast(doc_id as long) doc_id", "y", "text")
-    got = texts.mapInArrow(features, "doc_id long, y int, places array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    places = got.column("places").combine_chunks()
-    ends = np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False)) if len(places) else np.zeros(0, np.int64)
-    return fit(np.split(places.flatten().to_numpy(), ends[:-1]) if len(places) else [], got.column("y").to_pylist(), bits)
+
+    def fitted(batches):
+        rows, good = [], []
+        for batch in batches:
+            places = batch.column(2)
+            ends = np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False))
+            rows += np.split(places.flatten().to_numpy(), ends[:-1]) if len(places) else []
+            good += batch.column(1).to_pylist()
+        m = fit(rows, good, bits)
+        yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "square": [m.square.tobytes()], "intercept": [m.intercept], "slope": [m.slope], "shift": [m.shift]})
+
+    # one task fits: the rows, bounded in number, never reach the driver, only the model does
+    rows = texts.mapInArrow(features, "doc_id long, y int, places array<int>").repartition(1).sortWithinPartitions("doc_id", "y")
+    got = rows.mapInArrow(fitted, "weight binary, square binary, intercept double, slope double, shift double").collect()
+    return Model.stored(**got[0].asDict()) if got else fit([], [], bits)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

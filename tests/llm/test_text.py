@@ -156,6 +156,18 @@ def test_classifier(spark):
     assert np.allclose(again[got.doc_id].to_numpy(), got.score)
 
 
+def test_no_labelled_row_reaches_the_driver(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels, "doc_id").where(~quality.held_out()).orderBy("doc_id").select("text", "quality").collect()
+    want = quality.fit([quality.indicators(r["text"]) for r in known], [r["quality"] for r in known])
+    fetched = []
+    for name in ("collect", "toArrow", "toPandas"):
+        monkeypatch.setattr(type(docs), name, lambda self, f=getattr(type(docs), name): fetched.append(out := f(self)) or out)
+    got = quality.train(docs, labels)
+    assert sum(map(len, fetched)) <= 1
+    assert (got.weight == want.weight).all() and (got.square == want.square).all() and (got.intercept, got.slope, got.shift) == (want.intercept, want.slope, want.shift)
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
